@@ -121,6 +121,8 @@ def telemetry_coverage(train: DataFrame) -> DataFrame:
 
 def usable_features(train: DataFrame) -> DataFrame:
     """Eligible features, without the telemetry ones when their coverage is too thin."""
+    if "telemetry_available" not in train.columns:
+        return feature_eligibility(train).filter("eligible").select("feature")
     use = telemetry_coverage(train).select("use_telemetry").scalar()
     keep = F.coalesce(use, F.lit(False)) | ~F.col("feature").isin(fv.TELEMETRY_PREDICTORS)
     return feature_eligibility(train).filter(F.col("eligible") & keep).select("feature")
@@ -157,9 +159,9 @@ def binary_metrics(scored: DataFrame, threshold: float | Column = 0.5) -> DataFr
     called = p >= limit
     above_n, above_pos = rows - F.col("n_upto") + n, positives - F.col("pos_upto") + pos
     below_neg = (F.col("n_upto") - F.col("pos_upto")) - neg
-    summed = ranked.agg(
+    summed = ranked.withColumn("_precision", above_pos / above_n).agg(
         F.sum(n).alias("test_rows"), F.sum(pos).alias("_pos"), F.sum(neg).alias("_neg"),
-        F.sum(pos * above_pos / above_n).alias("_ap"),
+        F.sum(pos * F.col("_precision")).alias("_ap"),
         F.sum(pos * (below_neg + neg / 2)).alias("_pairs"),
         F.sum(pos * (1 - p) * (1 - p) + neg * p * p).alias("_brier"),
         F.coalesce(F.sum(F.when(called, pos)), F.lit(0)).alias("true_positive"),

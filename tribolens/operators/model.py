@@ -179,7 +179,8 @@ def train_failure_model(training: DataFrame) -> tuple[TrainedModel, DataFrame]:
     fitted, board = {}, []
     for name, estimator in candidates(total_weight).items():
         fitted[name] = PipelineModel([*steps.stages, estimator.fit(prepared)])
-        metrics = ev.binary_metrics(as_scored(scored(fitted[name], name, calibration), "base_probability"))
+        validated = materialise(as_scored(scored(fitted[name], name, calibration), "base_probability"))
+        metrics = ev.binary_metrics(validated)
         board.append(metrics.select(
             F.lit(name).alias("model"), F.lit("validation").alias("evaluation_period"), "*",
             F.lit(train.count()).alias("train_rows"), F.col("test_rows").alias("calibration_rows")).first())
@@ -188,7 +189,7 @@ def train_failure_model(training: DataFrame) -> tuple[TrainedModel, DataFrame]:
     name = winner["model"]
     calibrator = fit_sigmoid(scored(fitted[name], name, calibration))
     model = TrainedModel(name, fitted[name], calibrator, features)
-    validation = as_scored(calibrated(model, calibration, [fv.TARGET]), "probability")
+    validation = materialise(as_scored(calibrated(model, calibration, [fv.TARGET]), "probability"))
     threshold = float(ev.choose_threshold(validation).first()["threshold"])
     held_out = materialise(as_scored(calibrated(model, test, [fv.TARGET]), "probability"))
     prevalence = ev.development_prevalence(blocks).scalar()
