@@ -19,6 +19,7 @@ from tribolens.operators import (
     telemetry as tele, trends, triage, work_orders as wo,
 )
 from tribolens.plans import analysis, scans
+from tribolens.session import tune
 from tribolens.plans.storage import checkpoint_folder, materialise
 from tribolens.sources.tables import for_text_sink, load_table, write_json_row, write_table
 
@@ -35,7 +36,7 @@ def entry(name: str, needs: str = "", sql: str | None = None, rounded: list[str]
     """Register a query; `rounded` double columns are compared to six decimals on both sides."""
     def register(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = build(spark, sf_dir)
+            df = build(tune(spark), sf_dir)
             return df.withColumns({n: F.round(F.col(n), DIGITS) for n in rounded or []})
 
         QUERIES[name] = functools.wraps(build)(run)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tribolens.sources.tables import load_table, spread
+
 RAW_SAMPLES = """
 SELECT concat_ws('-', cast(l_orderkey AS string), cast(l_linenumber AS string), cast(l_partkey AS string),
                  cast(l_suppkey AS string), cast(cast(l_shipdate AS date) AS string)) AS SampleNum,
@@ -88,8 +90,8 @@ SELECT event_id AS reading_id,
        CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('M', cast(event_id % 5 AS string)) END AS EquipmentHeader_Model,
        CASE WHEN event_id % 71 = 0 THEN NULL ELSE date_trunc('hour', ts) END AS event_date_time,
        CASE WHEN event_id % 17 = 0 THEN NULL ELSE ts END AS SynapseModifiedDateTime,
-       CASE WHEN event_id % 23 = 0 THEN NULL ELSE value END AS CumulativeOperatingHours_Hour,
-       cast(regexp_extract(props, '([0-9]+)', 1) AS double) AS Distance_Odometer,
+       CASE WHEN event_id % 23 = 0 THEN NULL ELSE value / 7 END AS CumulativeOperatingHours_Hour,
+       cast(regexp_extract(props, '([0-9]+)', 1) AS double) / 3 AS Distance_Odometer,
        cast(5.0 AS double) AS CumulativeIdleHours_Hour,
        value * 2 AS FuelUsed_FuelConsumed
 FROM events WHERE event_type NOT IN ('error', 'signup')
@@ -125,7 +127,8 @@ FROM events WHERE event_type = 'error' AND user_id % 5 <> 0
 
 
 def _run(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
-    named = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in tables}
+    named = {name: load_table(spark, f"{sf_dir}/{name}.parquet") for name in tables}
+    named[tables[0]] = spread(named[tables[0]])
     for name in tables:
         text = text.replace(f"FROM {name}", "FROM {" + name + "}").replace(f"JOIN {name}", "JOIN {" + name + "}")
     return spark.sql(text, **named)

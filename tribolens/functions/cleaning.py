@@ -19,26 +19,31 @@ def lookup(mapping: dict) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every Unicode white-space character, not only blanks."""
-    return F.regexp_replace(text.cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.trim(text.cast("string"), F.lit(fv.WHITE_SPACE))
 
 
-def identifier(value: Column) -> Column:
-    """Trimmed text; blank and spelled-out missing markers become NULL."""
-    text = strip(value)
+def known(text: Column) -> Column:
+    """Trimmed text in which blank and spelled-out missing markers become NULL."""
     return F.when(~text.isin(fv.BLANK_TEXTS), text)
 
 
+def identifier(value: Column) -> Column:
+    """Text, trimmed, with missing markers as NULL."""
+    return known(strip(value))
+
+
 def component_code(value: Column) -> Column:
     """Upper-case code with `_` for other characters, common aliases folded."""
-    code = F.regexp_replace(F.upper(identifier(value)), "[^A-Z0-9]+", "_")
-    code = F.trim(code, F.lit("_"))
+    upper = F.upper(identifier(value))
+    # Codes without other characters are the common case and need no replacement.
+    code = F.when(~upper.rlike("[^A-Z0-9]"), upper).otherwise(
+        F.trim(F.regexp_replace(upper, "[^A-Z0-9]+", "_"), F.lit("_")))
     return F.coalesce(F.try_element_at(lookup(fv.COMPONENT_ALIASES), code), code)
 
 
 def number(value: Column) -> Column:
     """Double, with text that is no number and NaN folded into NULL."""
-    parsed = value.try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
 def finite_or(value: Column, default: float | None) -> Column:
@@ -91,12 +96,12 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def timestamp(value: Column, dtype: T.DataType) -> Column:
-    """Zone-free timestamp from a date, a timestamp or one of the listed text layouts; NULL when it is none."""
+    """Zone-free timestamp from a date, a timestamp or trimmed text in one of the listed layouts, otherwise NULL."""
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return value.cast("timestamp_ntz")
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
-    text = strip(value)
+    text = value
     return F.coalesce(
         F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp_ntz")),
         F.when(
@@ -110,20 +115,27 @@ def timestamp(value: Column, dtype: T.DataType) -> Column:
     )
 
 
-def calendar_date(value: Column, dtype: T.DataType) -> tuple[Column, Column]:
-    """(parsed timestamp, issue text). A bare clock time is never read as a date."""
-    text = strip(value)
-    time_only = F.coalesce(text.rlike(fv.TIME_ONLY_PATTERN), F.lit(False))
-    missing = text.isNull() | (text == "")
-    parsed = F.when(~time_only, timestamp(value, dtype))
-    in_range = F.year(parsed).between(fv.FIRST_YEAR, fv.LAST_YEAR)
-    issue = (
-        F.when(missing, F.lit(fv.DATE_MISSING))
-        .when(time_only, F.lit(fv.DATE_TIME_ONLY))
+def trimmed_timestamp(value: Column, dtype: T.DataType) -> Column:
+    return timestamp(strip(value) if isinstance(dtype, T.StringType) else value, dtype)
+
+
+def is_time_only(text: Column) -> Column:
+    """A bare clock time, which must never be read as a date."""
+    return F.coalesce(text.rlike(fv.TIME_ONLY_PATTERN), F.lit(False))
+
+
+def date_in_range(parsed: Column) -> Column:
+    return F.year(parsed).between(fv.FIRST_YEAR, fv.LAST_YEAR)
+
+
+def date_issue(text: Column, parsed: Column) -> Column:
+    """Why a calendar date is not usable, or NULL; takes the trimmed text and what it parsed to."""
+    return (
+        F.when(text.isNull() | (text == ""), F.lit(fv.DATE_MISSING))
+        .when(is_time_only(text), F.lit(fv.DATE_TIME_ONLY))
         .when(parsed.isNull(), F.lit(fv.DATE_UNPARSEABLE))
-        .when(~in_range, F.lit(fv.DATE_OUT_OF_RANGE))
+        .when(~date_in_range(parsed), F.lit(fv.DATE_OUT_OF_RANGE))
     )
-    return F.when(in_range, parsed), issue
 
 
 def micros(moment: Column) -> Column:

@@ -25,7 +25,11 @@ MEASUREMENT_LABELS = {
     "tbn": ("TBN", ""),
 }
 
-# Cell texts that mean "missing".
+# Unicode white space, and cell texts that mean "missing".
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 BLANK_TEXTS = ["", "nan", "None", "<NA>"]
 TRUE_TEXTS = ["TRUE", "T", "YES", "Y", "1"]
 FALSE_TEXTS = ["FALSE", "F", "NO", "N", "0", ""]

@@ -17,7 +17,7 @@ def read_details(raw: DataFrame, row_key: list[str]) -> DataFrame:
         raise ValueError("long results need a sample key, a result name and a result value column")
     comment = F.lit("") if names["comment"] is None else c.text_or(quoted(names["comment"]))
     units = F.lit("") if names["units"] is None else F.upper(c.strip(quoted(names["units"])))
-    modified = c.timestamp(*pick(raw, fv.DETAIL_HEADERS["modified"]))
+    modified = c.trimmed_timestamp(*pick(raw, fv.DETAIL_HEADERS["modified"]))
     name = F.upper(c.strip(quoted(names["name"])))
     result_id = name if names["result_id"] is None else c.identifier(quoted(names["result_id"]))
     return raw.select(

@@ -38,7 +38,7 @@ def read_telemetry(raw: DataFrame, row_key: str) -> DataFrame:
     return raw.select(
         F.col(row_key).alias("reading_key"),
         *[c.identifier(col(name)).alias(name) for name in ["asset_id", "serial_number", "machine_model"]],
-        *[c.timestamp(*pick(raw, names[name])).alias(name) for name in ["event_time", "modified_time"]],
+        *[c.trimmed_timestamp(*pick(raw, names[name])).alias(name) for name in ["event_time", "modified_time"]],
         *[c.number(col(name)).alias(name) for name in [*COUNTERS, *POSITION]],
     )
 
@@ -63,8 +63,8 @@ def latest_readings(readings: DataFrame) -> DataFrame:
 
 def with_deltas(latest: DataFrame, rows_per_segment: int = scans.ROWS_PER_SEGMENT) -> DataFrame:
     """Gap to the previous reading, counter deltas, resets and guarded ratios."""
-    split = scans.split_series(latest, ["asset_id"], "event_time", "reading_key", rows_per_segment)
-    rows = scans.with_series_context(split, ["asset_id"], "event_time", "reading_key", depth=1, carried=COUNTERS)
+    rows = scans.split_series(latest, ["asset_id"], "event_time", "reading_key", depth=1, carried=COUNTERS,
+                              rows_per_segment=rows_per_segment)
     series = Window.partitionBy("asset_id", "_seg").orderBy(F.col("event_time").asc_nulls_last(), "reading_key")
     before = rows.select(
         *rows.columns,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tribolens.functions import cleaning as c
@@ -14,29 +14,35 @@ SERIES = ["asset_id", "component"]
 
 def add_trends(samples: DataFrame, rows_per_segment: int = scans.ROWS_PER_SEGMENT) -> DataFrame:
     """Previous sample, deltas, rates per 100 fluid hours, rolling means and the running sample number."""
-    split = scans.split_series(samples, SERIES, "sample_date", "source_row", rows_per_segment)
-    rows = scans.with_series_context(
-        split, SERIES, "sample_date", "source_row", depth=2, carried=["fluid_hours", *fv.MEASUREMENTS])
+    rows = scans.split_series(samples, SERIES, "sample_date", "source_row", depth=2,
+                              carried=["fluid_hours", *fv.MEASUREMENTS], rows_per_segment=rows_per_segment)
     # One window specification for every column: one exchange and one sort.
     series = Window.partitionBy(*SERIES, "_seg").orderBy(F.col("sample_date").asc_nulls_last(), "source_row")
-    last_three, so_far = series.rowsBetween(-2, 0), series.rowsBetween(Window.unboundedPreceding, 0)
-
-    before = {name: F.lag(name).over(series) for name in ["sample_date", "fluid_hours", *fv.MEASUREMENTS]}
+    so_far = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     windowed = rows.select(
         *rows.columns,
-        before["sample_date"].alias("previous_sample_date"),
-        before["fluid_hours"].alias("previous_fluid_hours"),
-        *[(F.col(m) - before[m]).alias(m + "_delta") for m in fv.MEASUREMENTS],
-        *[F.avg(m).over(last_three).alias(m + "_mean_3") for m in fv.MEASUREMENTS],
+        F.lag("sample_date").over(series).alias("previous_sample_date"),
+        F.lag("fluid_hours").over(series).alias("previous_fluid_hours"),
+        *[F.lag(m, n).over(series).alias(f"_{m}_{n}") for m in fv.MEASUREMENTS for n in (1, 2)],
         (F.count(F.when(~F.col("_copy"), 1)).over(so_far)
          + F.coalesce(F.max("_before").over(so_far), F.lit(0))).alias("lab_history_samples"),
     ).filter(~F.col("_copy"))
     step = F.col("fluid_hours") - F.col("previous_fluid_hours")
+    helpers = [f"_{m}_{n}" for m in fv.MEASUREMENTS for n in (1, 2)]
     return windowed.withColumns({
         "days_since_previous_sample": c.elapsed_days(F.col("sample_date"), F.col("previous_sample_date")),
         "fluid_hours_delta": step,
-        **{m + "_rate_100h": F.when(step > 0, 100 * F.col(m + "_delta") / step) for m in fv.MEASUREMENTS},
-    }).drop("_seg", "_copy", "_before")
+        **{m + "_delta": F.col(m) - F.col(f"_{m}_1") for m in fv.MEASUREMENTS},
+        **{m + "_rate_100h": F.when(step > 0, 100 * (F.col(m) - F.col(f"_{m}_1")) / step) for m in fv.MEASUREMENTS},
+        **{m + "_mean_3": _mean_of_three(m) for m in fv.MEASUREMENTS},
+    }).drop("_seg", "_copy", "_before", *helpers)
+
+
+def _mean_of_three(m: str) -> Column:
+    """Mean of the present ones among a value and the two before it: plain arithmetic instead of a sliding frame."""
+    values = [F.col(f"_{m}_2"), F.col(f"_{m}_1"), F.col(m)]
+    present = sum((v.isNotNull().cast("int") for v in values[1:]), values[0].isNotNull().cast("int"))
+    return c.null_skipping_sum(*values) / F.nullif(present, F.lit(0))
 
 
 def series_trend(samples: DataFrame, asset_id: str, component: str,

@@ -79,8 +79,8 @@ def unlinked_new_ar() -> Column:
 
 def with_rule_results(samples: DataFrame, config: dict) -> DataFrame:
     """Severity, matched rules, evidence strength, texts, confidence and laboratory status."""
-    matched = samples.withColumns({"_base": base_severity(config), "_rules": matched_rules(config)})
-    is_ar = _code() == "AR"
+    matched = samples.withColumns({"_base": base_severity(config), "_rules": matched_rules(config), "_code": _code()})
+    is_ar = F.col("_code") == "AR"
     first_evidence = F.when(is_ar, F.array(F.lit(fv.AR_EVIDENCE))).otherwise(F.array().cast("array<string>"))
     first_advice = F.when(is_ar, F.array(F.lit(fv.AR_RECOMMENDATION))).otherwise(F.array().cast("array<string>"))
     evidence = F.concat(first_evidence, F.col("_rules.evidence"))
@@ -89,8 +89,10 @@ def with_rule_results(samples: DataFrame, config: dict) -> DataFrame:
     strength = F.greatest(F.lit(0.0), F.least(F.lit(1.0), top))
     prefix = fv.ACTION_PREFIX.strip()
 
+    found = is_ar | (F.size("_rules") > 0)
+
     def or_default(items: Column, default: str) -> Column:
-        return F.when(F.size(items) > 0, F.array_distinct(items)).otherwise(F.array(F.lit(default)))
+        return F.when(found, F.array_distinct(items)).otherwise(F.array(F.lit(default)))
 
     without_prefix = F.transform(or_default(advice, fv.NO_RECOMMENDATION), lambda a: c.strip(
         F.when(F.startswith(a, F.lit(prefix)), F.substr(a, F.lit(len(prefix) + 1))).otherwise(a)))
@@ -105,8 +107,8 @@ def with_rule_results(samples: DataFrame, config: dict) -> DataFrame:
         "confidence": F.when(F.col("fluid_hours").isNull() | history, "Low").when(F.size("_rules") >= 2, "High")
         .otherwise("Medium"),
         "original_interpretation": F.col("interpretation_text"),
-        "interpretation_code": _code(),
-    }).withColumn("lab_status", lab_status()).drop("_base", "_rules")
+        "interpretation_code": F.col("_code"),
+    }).withColumn("lab_status", lab_status()).drop("_base", "_rules", "_code")
 
 
 def with_workflow_priority(rows: DataFrame) -> DataFrame:

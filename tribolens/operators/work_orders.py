@@ -39,7 +39,7 @@ def prepare_work_orders(raw: DataFrame, headers: dict[str, list[str]] | None = N
         c.identifier(col("asset_id")).alias("asset_id"),
         c.component_code(col("component")).alias("component"),
         c.identifier(col("wo_id")).alias("wo_id"),
-        *[c.timestamp(*pick(raw, names[name])).alias(name) for name in DATES],
+        *[c.trimmed_timestamp(*pick(raw, names[name])).alias(name) for name in DATES],
         F.upper(F.coalesce(c.identifier(col("wo_type")), F.lit(""))).alias("wo_type"),
         joined_text(raw, fv.WORK_ORDER_TEXT_COLUMNS).alias("wo_text"),
         explicit_outcome(outcome.cast("int") if dict(raw.dtypes).get(_name(raw, names)) == "boolean" else outcome)

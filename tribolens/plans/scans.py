@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tribolens.plans.storage import materialise
+
 ROWS_PER_SEGMENT = 1_000_000
 FIRST = -(1 << 62)  # sorts ahead of every real position
 
@@ -68,17 +70,28 @@ def position(time: str, row_key: str) -> Column:
 
 
 def split_series(
-    rows: DataFrame, keys: list[str], time: str, row_key: str, rows_per_segment: int = ROWS_PER_SEGMENT
+    rows: DataFrame, keys: list[str], time: str, row_key: str, depth: int, carried: list[str],
+    rows_per_segment: int = ROWS_PER_SEGMENT,
 ) -> DataFrame:
-    """Add `_seg`: NULL for a key that is not cut, otherwise a struct that orders the segments of the key.
+    """Rows with `_seg`, within which a window over (keys, `_seg`) sees everything it needs.
+
+    `_seg` is NULL for a key that is not cut, otherwise a struct that orders the segments of the key. Ahead of every
+    segment stand copies (`_copy` true) of the `depth` rows before it, with `_before`: how many rows of the key
+    precede the segment. Besides keys, time and row key only the `carried` columns are filled on copies.
 
-    A row is a cut when the hash of its unique key is a multiple of `rows_per_segment`. The cuts are therefore
-    the same on every evaluation and number about 1 / rows_per_segment of the table (one in a million), which
-    is what bounds the two broadcasts. A cut key is divided by day, and inside a day by the cuts lying in it.
+    A row is a cut when the hash of its unique key is a multiple of `rows_per_segment`. The cuts are therefore the
+    same on every evaluation and number about 1 / rows_per_segment of the table (one in a million), which bounds
+    the two broadcasts. They are found first, in one pass over the key columns; without any the rows stay as they
+    are. A cut key is divided by day, and inside a day by the cuts lying in it.
     """
     day = F.to_date(time)
-    cuts = rows.filter(F.pmod(F.xxhash64(*keys, row_key), F.lit(rows_per_segment)) == 0).select(
-        *keys, day.alias("_day"), position(time, row_key).alias("_at"))
+    cuts = materialise(
+        rows.filter(F.pmod(F.xxhash64(row_key), F.lit(rows_per_segment)) == 0)
+        .select(*keys, day.alias("_day"), position(time, row_key).alias("_at")))
+    part_type = "struct<undated:boolean,day:date,part:int>"
+    if cuts.isEmpty():
+        return rows.withColumns({"_seg": F.lit(None).cast(part_type), "_copy": F.lit(False),
+                                 "_before": F.lit(None).cast("long")})
     cut_keys = cuts.select(*keys).distinct().withColumn("_hot", F.lit(True))
     cut_days = cuts.groupBy(*keys, "_day").agg(F.sort_array(F.collect_list("_at")).alias("_cuts"))
     marked = join_on(rows.withColumn("_day", day), F.broadcast(cut_keys), keys)
@@ -86,17 +99,15 @@ def split_series(
     part = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
         F.size(F.filter("_cuts", lambda cut: cut <= position(time, row_key))))
     segment = F.struct(F.col("_day").isNull().alias("undated"), F.col("_day").alias("day"), part.alias("part"))
-    return marked.withColumn("_seg", F.when(F.col("_hot"), segment)).drop("_hot", "_cuts", "_day")
+    split = marked.withColumn("_seg", F.when(F.col("_hot"), segment)).drop("_hot", "_cuts", "_day")
+    copies = _rows_before_segments(split, keys, time, row_key, depth, carried)
+    return split.withColumn("_copy", F.lit(False)).unionByName(copies, allowMissingColumns=True)
 
 
-def with_series_context(
+def _rows_before_segments(
     split: DataFrame, keys: list[str], time: str, row_key: str, depth: int, carried: list[str]
 ) -> DataFrame:
-    """Rows of `split` plus, ahead of every segment, copies of the `depth` rows before it.
-
-    Adds `_copy` (true for the copies) and, on copies, `_before`: how many rows of the key precede the segment.
-    Besides keys, time and row key only the `carried` columns are filled on copies.
-    """
+    """Copies of the last rows before every segment of the cut keys."""
     hot = split.filter(F.col("_seg").isNotNull()).select(*keys, "_seg", time, row_key, *carried)
     newest = Window.partitionBy(*keys, "_seg").orderBy(F.col(time).desc_nulls_first(), F.col(row_key).desc())
     tail_rows = hot.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= depth)
@@ -109,10 +120,9 @@ def with_series_context(
     history = F.concat(*[F.coalesce(F.lag("_tail", n).over(by_segment), none) for n in range(depth, 0, -1)])
     earlier = F.sum("_size").over(by_segment.rowsBetween(Window.unboundedPreceding, -1))
     last_rows = F.slice("_history", F.greatest(F.size("_history") - depth + 1, F.lit(1)), depth)
-    copies = (
+    return (
         segments.select(*keys, "_seg", history.alias("_history"), earlier.alias("_before"))
         .select(*keys, "_seg", "_before", F.explode(last_rows).alias("_r"))
         .select(*keys, "_seg", "_before", F.col("_r._at.at").alias(time), F.col("_r._at.row").alias(row_key),
                 *[F.col("_r." + name).alias(name) for name in carried], F.lit(True).alias("_copy"))
     )
-    return split.withColumn("_copy", F.lit(False)).unionByName(copies, allowMissingColumns=True)

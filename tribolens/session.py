@@ -11,10 +11,21 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join may sit below another exchange; splitting it is still cheaper than one long task.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM never compiles methods above 8000 bytes of code; wide projections run faster outside one fused method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
 
+RUNTIME = ["spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.sql.codegen.hugeMethodLimit"]
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings that may change while a session runs."""
+    for key in RUNTIME:
+        spark.conf.set(key, SETTINGS[key])
+    return spark
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and local benchmarks; a cluster job brings its own."""

@@ -47,6 +47,16 @@ def _reject_case_twins(spark: SparkSession, path: str) -> None:
         seen[key] = name
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan that has fewer partitions than cores one per core.
+
+    A large table has more splits than cores and is returned as it is; only a small one, whose single row group
+    would otherwise keep one core busy, is redistributed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def for_text_sink(df: DataFrame) -> DataFrame:
     """Arrays and structs as JSON text, so that a CSV sink accepts them."""
     return df.select(*[
