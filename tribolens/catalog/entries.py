@@ -90,7 +90,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training(spark: SparkSession, sf: str) -> DataFrame:
-    return pit.build_training(pit_samples(spark, sf), telemetry(spark, sf), orders(spark, sf), ref.HORIZON)
+    return pit.build_training(*(materialise(f(spark, sf)) for f in (pit_samples, telemetry, orders)), ref.HORIZON)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,24 +109,15 @@ def probabilities(spark: SparkSession, sf: str) -> DataFrame:
 
 def cards(spark: SparkSession, sf: str, with_scores: bool = False) -> DataFrame:
     rows, tel, work = samples(spark, sf), telemetry(spark, sf), orders(spark, sf)
-    return cases.action_cards(alerts(spark, sf), availability(rows, tel, work),
+    return cases.action_cards(alerts(spark, sf), pit.availability(rows, tel, work),
                               probabilities(spark, sf) if with_scores else None)
 
 
-def availability(rows: DataFrame, tel: DataFrame, work: DataFrame) -> DataFrame:
-    """The two availability features alone."""
-    dated = pit.scoreable(rows)
-    seen = pit.trailing_sums(rows, tel).select(
-        "source_row", F.col("latest_reading").isNotNull().cast("double").alias("telemetry_available"))
-    covered = pit.with_coverage(dated.select("source_row", "asset_id"), work).drop("asset_id")
-    return seen.join(covered, "source_row")
-
-
 def case_table(spark: SparkSession, sf: str) -> DataFrame:
     """Case table over tables written once, as the whole analysis does."""
     rows, tel, work = (materialise(f(spark, sf)) for f in (samples, telemetry, orders))
     tiers = materialise(triage.triage(rows))
-    made = materialise(cases.action_cards(tiers, availability(rows, tel, work), probabilities(spark, sf)))
+    made = materialise(cases.action_cards(tiers, pit.availability(rows, tel, work), probabilities(spark, sf)))
     return cases.case_table(made, tiers, rows, tel, work)
 
 
@@ -499,7 +490,7 @@ TELEMETRY_VALUES = [n for n in fv.TELEMETRY_PREDICTORS if n != "telemetry_availa
 @entry("telemetry_window_features", "pit_telemetry", f"""
 SELECT source_row, telemetry_available, {', '.join(TELEMETRY_VALUES)} FROM pit_telemetry""", rounded=TELEMETRY_VALUES)
 def _(spark, sf):
-    return pit.telemetry_features(pit_samples(spark, sf), telemetry(spark, sf))
+    return pit.telemetry_features(*(materialise(f(spark, sf)) for f in (pit_samples, telemetry)))
 
 
 @entry("latest_reading_before_sample", "pit_telemetry", """
@@ -523,7 +514,7 @@ SCORING_DOUBLES = ["fluid_hours", "lab_text_length_log", *M, *TREND, *TELEMETRY_
 
 @entry("scoring_features", "scoring", "SELECT * FROM scoring", rounded=SCORING_DOUBLES)
 def _(spark, sf):
-    return pit.build_scoring(pit_samples(spark, sf), telemetry(spark, sf), orders(spark, sf))
+    return pit.build_scoring(*(materialise(f(spark, sf)) for f in (pit_samples, telemetry, orders)))
 
 
 @entry("explicit_outcomes", "stated_orders", """
@@ -1000,7 +991,7 @@ def _(spark, sf):
 @entry("model_probabilities")
 def _(spark, sf):
     trained, _ = _fitted(spark, sf)
-    return trained.predict(pit.build_scoring(pit_samples(spark, sf), telemetry(spark, sf), orders(spark, sf)))
+    return trained.predict(pit.build_scoring(*(materialise(f(spark, sf)) for f in (pit_samples, telemetry, orders))))
 
 
 @entry("model_importance")

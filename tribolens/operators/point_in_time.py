@@ -6,8 +6,10 @@ event is ever materialised, and an asset with very many rows is spread over its
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,13 +106,49 @@ def trailing_sums(samples: DataFrame, telemetry: DataFrame) -> DataFrame:
     )
 
 
-def _trailing_median(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rolling median at the samples of one (asset, period); readings sort ahead of samples at the same moment."""
-    rows = rows.assign(_sample=rows["source_row"].notna()).sort_values(["at", "_sample"], kind="stable")
-    values = pd.Series(rows["utilization"].to_numpy(), index=pd.to_datetime(rows["at"].to_numpy(), unit="us"))
-    rolled = values.rolling(f"{MEDIAN_DAYS}D", closed="both", min_periods=1).median()
-    out = rows[["source_row"]].assign(mean_utilization_30d=rolled.to_numpy())
-    return out[rows["_sample"]]
+def _medians_of_group(at: np.ndarray, values: np.ndarray, is_sample: np.ndarray) -> np.ndarray:
+    """Median of the readings in the 30 days up to each sample of one (asset, period), in time order."""
+    times, known, moments = at[~is_sample], values[~is_sample], at[is_sample]
+    if len(moments) * len(times) > 5_000_000:
+        # Many samples over many readings: slide one ordered window instead of cutting one per sample.
+        rolled = pd.Series(np.where(is_sample, np.nan, values), index=pd.to_datetime(at, unit="us")).rolling(
+            f"{MEDIAN_DAYS}D", closed="both", min_periods=1).median()
+        return rolled.to_numpy()[is_sample]
+    first = np.searchsorted(times, moments - MEDIAN_DAYS * DAY, side="left")
+    last = np.searchsorted(times, moments, side="right")
+    return np.array([np.median(known[i:j]) if j > i else np.nan for i, j in zip(first, last)])
+
+
+def _trailing_medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Medians per (asset, period) over sorted batches; only the unfinished last group is carried on."""
+    def finished(rows: pd.DataFrame) -> pd.DataFrame:
+        asset, period = rows["asset_id"].to_numpy(), rows["period"].to_numpy()
+        at, values, is_sample = (rows[k].to_numpy() for k in ("at", "utilization", "is_sample"))
+        starts = np.flatnonzero(np.r_[True, (asset[1:] != asset[:-1]) | (period[1:] != period[:-1])])
+        medians = [_medians_of_group(at[i:j], values[i:j], is_sample[i:j])
+                   for i, j in zip(starts, np.r_[starts[1:], len(rows)])]
+        return pd.DataFrame({"source_row": rows["source_row"].to_numpy()[is_sample],
+                             "mean_utilization_30d": np.concatenate(medians)})
+
+    waiting: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        last = batch.iloc[-1]
+        open_group = ((batch["asset_id"] == last["asset_id"]) & (batch["period"] == last["period"])).to_numpy()
+        begin = int(np.argmax(open_group))
+        if waiting:
+            head = waiting[-1].iloc[-1]
+            if begin == 0 and head["asset_id"] == last["asset_id"] and head["period"] == last["period"]:
+                waiting.append(batch)
+                continue
+        yield finished(pd.concat([*waiting, batch.iloc[:begin]])) if waiting or begin else _NO_MEDIANS
+        waiting = [batch.iloc[begin:]]
+    if waiting:
+        yield finished(pd.concat(waiting))
+
+
+_NO_MEDIANS = pd.DataFrame({"source_row": pd.Series(dtype=object), "mean_utilization_30d": pd.Series(dtype=float)})
 
 
 def trailing_median(samples: DataFrame, telemetry: DataFrame) -> DataFrame:
@@ -118,7 +156,7 @@ def trailing_median(samples: DataFrame, telemetry: DataFrame) -> DataFrame:
 
     A sliding `percentile` re-sorts its frame for every row, so the window slides in an Arrow helper instead.
     Readings go to their own 30-day period and the next one; a group is thus at most 60 days of one asset, and
-    readings are unique per (asset, time).
+    readings are unique per (asset, time). Groups arrive sorted and are worked off one after the other.
     """
     period = F.floor(F.col("at") / F.lit(MEDIAN_DAYS * DAY)).cast("long")
     points = _sample_points(samples).withColumn("period", period)
@@ -128,10 +166,13 @@ def trailing_median(samples: DataFrame, telemetry: DataFrame) -> DataFrame:
         .select("asset_id", "at", "utilization", F.explode(F.array(period, period + 1)).alias("period"))
         .join(wanted, ["asset_id", "period"], "left_semi")
     )
-    rows = points.unionByName(readings, allowMissingColumns=True)
+    rows = points.unionByName(readings, allowMissingColumns=True).withColumn(
+        "is_sample", F.col("source_row").isNotNull())
     key_type = samples.schema["source_row"].dataType.simpleString()
-    return rows.groupBy("asset_id", "period").applyInPandas(
-        _trailing_median, f"source_row {key_type}, mean_utilization_30d double")
+    found = (
+        rows.repartition("asset_id", "period").sortWithinPartitions("asset_id", "period", "at", "is_sample")
+        .mapInPandas(_trailing_medians, f"source_row {key_type}, mean_utilization_30d double"))
+    return found.withColumn("mean_utilization_30d", F.nanvl("mean_utilization_30d", F.lit(None).cast("double")))
 
 
 def telemetry_features(samples: DataFrame, telemetry: DataFrame) -> DataFrame:
@@ -147,6 +188,15 @@ def telemetry_features(samples: DataFrame, telemetry: DataFrame) -> DataFrame:
     )
 
 
+def availability(samples: DataFrame, telemetry: DataFrame, work_orders: DataFrame) -> DataFrame:
+    """The two availability features alone: a sample has telemetry from the first reading of its asset on."""
+    first = _readings(telemetry).groupBy("asset_id").agg(F.min("at").alias("_first"))
+    seen = F.coalesce(F.col("_first") <= c.micros(F.col("sample_date")), F.lit(False)).cast("double")
+    dated = scoreable(samples).select("source_row", "asset_id", "sample_date").join(first, "asset_id", "left")
+    return with_coverage(dated.withColumn("telemetry_available", seen), work_orders).select(
+        "source_row", "telemetry_available", "work_order_history_available")
+
+
 def covered_assets(work_orders: DataFrame) -> DataFrame:
     return work_orders.select("asset_id").filter(F.col("asset_id").isNotNull()).distinct()
 
