@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +19,7 @@ from tribolens.operators import (
 )
 from tribolens.plans import analysis, scans
 from tribolens.session import tune
-from tribolens.plans.storage import checkpoint_folder, materialise
+from tribolens.plans.storage import materialise, new_table_path
 from tribolens.sources.tables import for_text_sink, load_table, write_json_row, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,16 +125,12 @@ def joined(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.array_join(F.col(n), " | ") for n in names})
 
 
-def scratch(spark: SparkSession) -> str:
-    return f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
-
-
 # Sources and sinks ----------------------------------------------------------------------------------------------
 @entry("table_sink_counts", "alerts telemetry", """
 SELECT 'alerts' AS sink, count(*) AS n, count(DISTINCT asset_id) AS assets FROM alerts
 UNION ALL SELECT 'telemetry', count(*), count(DISTINCT asset_id) FROM telemetry""")
 def _(spark, sf):
-    out, tables = scratch(spark), []
+    out, tables = new_table_path(spark), []
     for name, df in (("alerts", alerts(spark, sf)), ("telemetry", telemetry(spark, sf))):
         write_table(df, f"{out}/{name}")
         back = spark.read.parquet(f"{out}/{name}")
@@ -148,7 +143,7 @@ def _(spark, sf):
 SELECT priority_tier, component, count(*) AS n, sum(rule_evidence_strength) AS strength,
   count(sample_date) AS dated FROM alerts GROUP BY ALL""", rounded=["strength"])
 def _(spark, sf):
-    out = scratch(spark) + "/alerts.csv"
+    out = new_table_path(spark) + "/alerts.csv"
     write_table(alerts(spark, sf).withColumn("tags", F.array("priority_tier", "status")), out, "csv")
     back = load_table(spark, out)
     return back.groupBy("priority_tier", "component").agg(
@@ -172,14 +167,14 @@ def _(spark, sf):
     counters = gates.dataset_counters(tiers).select("lab_ar_samples").scalar()
     row = rows.agg(F.count("*").alias("sample_rows"), F.count_distinct("asset_id").alias("sample_assets")).select(
         "*", matched.alias("matched_assets"), counters.alias("lab_ar_samples"))
-    out = scratch(spark)
+    out = new_table_path(spark)
     write_json_row(row, out)
     return spark.read.schema(row.schema).json(out)
 
 
 @entry("action_queue_export", "cases", "SELECT priority_code, count(*) AS n FROM cases GROUP BY 1")
 def _(spark, sf):
-    out = scratch(spark)
+    out = new_table_path(spark)
     write_table(cases.ordered_cases(case_table(spark, sf)), out)
     return spark.read.parquet(out).groupBy("priority_code").agg(F.count("*").alias("n"))
 
@@ -1008,7 +1003,7 @@ def _(spark, sf):
 
 @entry("model_sink")
 def _(spark, sf):
-    out = scratch(spark)
+    out = new_table_path(spark)
     _fitted(spark, sf)[0].save(out)
     return spark.read.json(f"{out}/metrics")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,18 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_folder(spark: SparkSession) -> str:
     """Folder named by `spark.checkpoint.dir`; only a local session may fall back to a folder of its own."""
     context = spark.sparkContext
-    folder = context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
+
+
+def new_table_path(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows once, so that later jobs read them back and a lost executor costs no recomputation."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once as a columnar table and read them back.
+
+    Later jobs start from the files, read only the columns they need, and a lost executor costs no recomputation.
+    """
+    path = new_table_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,11 +11,12 @@ from tribolens.sources.headers import AmbiguousHeader, header_key
 ROW_KEY = "source_row"
 
 
-def load_table(spark: SparkSession, path: str, row_key: bool = False) -> DataFrame:
+def load_table(spark: SparkSession, path: str, row_key: bool = False, multi_line: bool = False) -> DataFrame:
     """Read a CSV or Parquet table; any other extension is an error.
 
     CSV cells stay text: types are coerced column by column later. With `row_key` a Parquet scan also
     carries a stable key made of file name and position, for tables that have no unique key of their own.
+    `multi_line` accepts line breaks inside CSV cells, at the price of one task per file.
     """
     lowered = path.rstrip("/").lower()
     if lowered.endswith(".csv"):
@@ -23,7 +24,7 @@ def load_table(spark: SparkSession, path: str, row_key: bool = False) -> DataFra
             raise ValueError("CSV rows have no stable position; stage the file as Parquet or name a key column")
         _reject_case_twins(spark, path)
         return (
-            spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+            spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
             .option("mode", "PERMISSIVE").csv(path)
         )
     if lowered.endswith(".parquet"):
@@ -70,7 +71,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Replace the table at `path`."""
     writer = (for_text_sink(df) if fmt == "csv" else df).write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", "\"")
     writer.format(fmt).save(path)
 
 
