@@ -22,18 +22,18 @@ def places(hashes: np.ndarray, width: int, depth: int) -> Iterator[np.ndarray]:
 
 
 def build(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int, depth: int,
-          most: int, finish: Callable[[np.ndarray], bytes]) -> bytes:
+          most: int, finish: Callable[[np.ndarray], bytes], kind: type = np.uint8) -> bytes:
     """Merged sketch over all rows of `df`, its blocks passed through `finish` and put together in order.
 
-    Each task counts in an array of width x depth bytes and sends its non-zero counters; counters stop at `most` (255
-    at most), which min-merging allows: a stopped sum is never below the stopped true count. What reaches the driver
-    is the finished sketch, whose size is set by the parameters and not by the table.
+    Each task counts in an array of width x depth counters of `kind` and sends its non-zero counters, or a whole block
+    where that is shorter; counters stop at `most`, which min-merging allows: a stopped sum is never below the stopped
+    true count. What reaches the driver is the finished sketch, whose size is set by the parameters, not by the table.
     """
     size = width * depth
     block = min(BLOCK, size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint8)
+        total = np.zeros(size, kind)
         for batch in batches:
             for found in hashes_of(batch):
                 for where in places(found, width, depth):
@@ -44,7 +44,9 @@ def build(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
             for k in range(first, min(first + 1024, size // block)):
                 part = total[k * block : (k + 1) * block]
                 used = np.flatnonzero(part)
-                if len(used):
+                if len(used) * (2 + part.itemsize) >= part.nbytes:
+                    rows.append((k, b"", part.tobytes()))
+                elif len(used):
                     rows.append((k, used.astype(np.uint16).tobytes(), part[used].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -55,9 +57,9 @@ def build(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, where, counts in zip(*(column.to_pylist() for column in batch.columns)):
-                total = sums.setdefault(k, np.zeros(block, np.uint8))
-                used = np.frombuffer(where, np.uint16)
-                total[used] = np.minimum(total[used].astype(np.int64) + np.frombuffer(counts, np.uint8), most)
+                total = sums.setdefault(k, np.zeros(block, kind))
+                used = np.frombuffer(where, np.uint16) if where else slice(None)
+                total[used] = np.minimum(total[used].astype(np.int64) + np.frombuffer(counts, kind), most)
         for k, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([finish(total)], pa.binary())],
                                              names=["block", "counts"])
@@ -65,7 +67,7 @@ def build(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarr
     merged = (df.mapInArrow(count, "block int, places binary, counts binary").repartition("block")
               .mapInArrow(merge, "block int, counts binary"))
     parts = dict(merged.collect())
-    empty = finish(np.zeros(block, np.uint8))
+    empty = finish(np.zeros(block, kind))
     return b"".join(bytes(parts.get(k, empty)) for k in range(size // block))
 
 
