@@ -18,3 +18,10 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 def small_side(table: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if it has at most BROADCAST_ROWS rows; else joins shuffle it."""
     return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def join_rows(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Join on (doc_id, tag), where a null id equals a null id; the keys of `left` stay."""
+    right = right.withColumnsRenamed({"doc_id": "_id", "tag": "_tag"})
+    met = left["doc_id"].eqNullSafe(right["_id"]) & (left["tag"] == right["_tag"])
+    return left.join(right, met, how).drop("_id", "_tag")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tribolens.llm.columns import let, small_side
+from tribolens.llm.columns import join_rows, let, small_side
 from tribolens.plans.storage import materialise
 
 WINDOW, GRAM = 10, 5
@@ -74,16 +74,12 @@ def matches(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFr
                          .alias("print"))
     met = small_side(materialise(prints.join(item_prints, "print").groupBy("doc_id", "tag").agg(
         F.collect_set("print").alias("prints"))))
-    near = docs.join(met, on_id_and_tag(docs, met)).select(docs["doc_id"], docs["tag"], F.explode(let(
+    near = join_rows(docs, met, "inner").select("doc_id", "tag", F.explode(let(
         words(F.col("text")), lambda ws: windows_near(ws, F.col("prints"), gram, window))).alias("x"))
     return near.select("doc_id", "tag", F.col("x.start").alias("start"), F.col("x.window").alias("window")).join(
         item_windows, "window").select("doc_id", "tag", "start", F.lit(window).alias("size"), "item_id")
 
 
-def on_id_and_tag(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["tag"] == right["tag"])
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted as strings), spans (start, size) of shared windows, per document."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.hash("text").alias("tag"))
@@ -100,6 +96,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         "spans", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1)))))
     sizes = docs.select("doc_id", "tag", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    return sizes.join(spans, on_id_and_tag(sizes, spans), "left").select(
-        sizes["doc_id"], "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),
+    return join_rows(sizes, spans).select(
+        "doc_id", "tag", "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("items", none).alias("items"), "spans")
