@@ -102,16 +102,22 @@ def similar_length(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass length and suffix filter and reach the threshold on their texts."""
+def both_sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with `columns` of both documents; only rows of documents in a pair are shuffled while pairs are few."""
     if pairs.count() <= BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
-    left, right = (pairs.join(sets.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"),
-                                          F.col("cells").alias(f"cells_{side}"), F.col("text").alias(f"text_{side}")),
+    left, right = (pairs.join(sets.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)),
                               side) for side in ("a", "b"))
+    return left.join(right, ["a", "b"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that pass length and suffix filter and reach the threshold on their texts."""
     common = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    both = left.join(right, ["a", "b"]).filter(
+    kept = materialise(both_sides(pairs, sets, ["n", "cells"]).filter(
         similar_length(F.col("n_a"), F.col("n_b"), percent) & may_reach(common, F.col("n_a"), F.col("n_b"), percent))
+        .select("a", "b"))
+    both = both_sides(kept, sets, ["text"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
