@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribolens.llm import ngram_jaccard, secrets, substring_dedup, winnowing
+from tribolens.llm import ngram_jaccard, secrets, substring_dedup, syncmers, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.listed(F.col("anchors")).alias("fingerprint"),
+        syncmers.listed(F.col("edited_anchors")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
+        syncmers.likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -36,5 +46,5 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op5_secret_links, op7_substring_dedup, op8_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op5_secret_links, op6_syncmers, op7_substring_dedup, op8_winnowing)}
 ORACLES: dict[str, str] = {}
