@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribolens.llm import ngram_jaccard, secrets, substring_dedup, syncmers, winnowing
+from tribolens.llm import ngram_jaccard, quality, secrets, substring_dedup, syncmers, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.grade(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = secrets.base_spans(F.col("spans"))
@@ -46,5 +51,5 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op5_secret_links, op6_syncmers, op7_substring_dedup, op8_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_quality, op5_secret_links, op6_syncmers, op7_substring_dedup, op8_winnowing)}
 ORACLES: dict[str, str] = {}

@@ -57,15 +57,15 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[places[0] : places[-1]], places - places[0]
 
 
-def split(texts: pa.Array, lower: bool) -> Words:
-    """Words between ASCII white space; `lower` folds A-Z only."""
+def split(texts: pa.Array, lower: bool, separators: bytes = SEPARATORS) -> Words:
+    """Words between separators, by default ASCII white space; `lower` folds A-Z only."""
     data, places = text_bytes(texts)
     if lower:
         fold = np.arange(256, dtype=np.uint8)
         fold[65:91] += 32
         data = fold[data]
     inside = np.ones(256, bool)
-    inside[list(SEPARATORS)] = False
+    inside[list(separators)] = False
     word = inside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[places] = True
