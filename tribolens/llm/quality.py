@@ -2,12 +2,12 @@
 
 Grades are ordered, P(grade <= j) = sigmoid(theta_j - score), with one weight vector shared by all grades and ordered thresholds.
 The score of a document is the sum of the weights of the distinct features of its whole text: hashes of its words and of their
-first four and five bytes, and of the levels of a few measures (share of capitals, of symbols, of distinct words, of the
+first four and five bytes, of its runs of signs, and of the levels of a few measures (share of capitals, of symbols, of distinct words, of the
 commonest word, word length). The model returns the expected grade and the probability of each tail; a document is
-kept if the probability of the best grade reaches one half.
+kept if the probability of the best grade reaches KEEP, which lies below one half to spare clean documents.
 
 The weights are fitted on a sample of about SAMPLE labelled documents, drawn by a hash of the id, so that only the sample's
-features reach the driver; features in fewer than LEAST documents of the sample have no weight. Scoring reads every document
+features reach the driver; features in fewer than LEAST_SHARE of the sample (LEAST at least) have no weight. Scoring reads every document
 once, with the weight table (at most as large as the sample's vocabulary) sent to each executor.
 
 Grades of the label table: 0 toxic, 1 not toxic but of low quality, 2 neither. Defined results: a null label counts as 0 in its
@@ -30,9 +30,11 @@ from tribolens.llm.words import Words, chunks, mix, split, text_bytes, word_hash
 
 GRADES = 3
 SAMPLE = 10_000
-LEAST = 3
-STEPS, RATE, DECAY = 120, 0.05, 2e-4
+LEAST, LEAST_SHARE = 3, 0.002
+STEPS, RATE, DECAY = 200, 0.05, 1e-3
+KEEP = 0.35
 NOT_WORD = bytes(b for b in range(128) if not chr(b).isalnum())
+NOT_SIGN = bytes(b for b in range(256) if b > 127 or b < 33 or chr(b).isalnum())
 LEVELS = 12
 FILTER_BITS = 23
 
@@ -73,6 +75,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = split(texts, lower=True, separators=NOT_WORD)
     hashes = word_hashes(words)
     levels = measures(texts, words, hashes)
+    signs = split(texts, lower=False, separators=NOT_SIGN)
+    runs = mix(word_hashes(signs) + np.uint64(9))
     heads = []
     for size in (4, 5):
         cut = word_hashes(words._replace(ends=np.minimum(words.ends, words.starts + size)))
@@ -80,7 +84,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     named = mix((levels + np.arange(levels.shape[1]) * LEVELS + 1).astype(np.uint64))
     found = []
     for row, (a, b) in enumerate(zip(words.bounds[:-1], words.bounds[1:])):
-        found.append(np.unique(np.concatenate([hashes[a:b], *(h[a:b] for h in heads), named[row]])))
+        marks = runs[signs.bounds[row] : signs.bounds[row + 1]]
+        found.append(np.unique(np.concatenate([hashes[a:b], *(h[a:b] for h in heads), marks, named[row]])))
     return np.concatenate(found), np.cumsum([0] + [len(x) for x in found])
 
 
@@ -118,14 +123,13 @@ def fit(lists: list[np.ndarray], grades: np.ndarray) -> Model:
     if not len(lists) or (counts > 0.5).sum() < 2:
         return empty
     names, place, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    frequent = times >= LEAST
+    frequent = times >= max(LEAST, LEAST_SHARE * len(lists))
     if not frequent.any():
         return empty
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     keep = frequent[place]
     column, row = (np.cumsum(frequent) - 1)[place[keep]].astype(np.int32), row[keep].astype(np.int32)
     names, y = names[frequent], grades.astype(np.int64)
-    # Rows and columns in file order of the sample would follow the partitions; sums do not depend on it beyond rounding.
     importance = np.sqrt(counts.sum() / (GRADES * counts))[y]
     importance /= importance.sum()
     edges = np.concatenate([[theta[0]], np.log(np.maximum(np.diff(theta), 1e-3))])
@@ -171,7 +175,7 @@ def scores(texts: pa.Array, model: Model, known: np.ndarray) -> np.ndarray:
     return np.bincount(np.searchsorted(begin, place, side="right") - 1, model.weights[at], len(texts))
 
 
-def grade(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def grade(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = KEEP) -> DataFrame:
     """`docs` with `expected_grade`, `p_low` (grade 1 or more), `p_best` (the best grade) and `keep`."""
     model = fit(*sampled(docs, labels, sample))
     known = np.zeros(1 << FILTER_BITS, bool)
@@ -186,7 +190,7 @@ def grade(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
                 score = scores(part.column("text"), model, known)
                 low, best = (1 - sigmoid(t - score) for t in model.thresholds)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(low + best), pa.array(low), pa.array(best),
-                                                  pa.array(best >= 0.5)], names=[*part.schema.names, *added])
+                                                  pa.array(best >= least)], names=[*part.schema.names, *added])
 
     docs = docs.drop(*added)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema),
