@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribolens.llm import ngram_jaccard, quality, secrets, substring_dedup, syncmers, winnowing
+from tribolens.llm import ngram_jaccard, packing, quality, secrets, substring_dedup, syncmers, token_store, winnowing
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +22,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_store.new_store(table(spark, sf_dir, "documents"), tokenizer())
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.grade(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -51,5 +62,14 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_quality, op5_secret_links, op6_syncmers, op7_substring_dedup, op8_winnowing)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_digest(packing.packed_sequences(table(spark, sf_dir, "documents"), tokenizer()))
+
+
+def packing_digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
+                         F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_store, op3_quality, op5_secret_links, op6_syncmers, op7_substring_dedup, op8_winnowing, op10_packing)}
 ORACLES: dict[str, str] = {}
