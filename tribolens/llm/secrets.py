@@ -8,7 +8,8 @@ into cells of SCOPE code points, and a weak part meets the parts of its own and
 full of parts costs in proportion to its length, and no cell holds more parts than fit into SCOPE code points.
 
 Spans are found with a pattern that takes the gap before each match along: match places are running sums of gap and match
-lengths, and the search continues behind each match, failing ones included.
+lengths, and the search continues behind each match, failing ones included. Each search is tied to the end of the last match
+(\\G); otherwise the text behind the last match would be searched again from each of its characters.
 
 Defined results: null or empty text has no spans. Rows with one id and different texts are judged each by itself; repeated rows
 give repeated results. A null id is an id like any other. An empty table gives an empty result. Other columns are ignored.
@@ -46,7 +47,7 @@ SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 def spans_of(text: Column, kind: str, rule: tuple) -> Column:
     """Spans (start, rank, end, kind) of one kind in a text; matches whose measured part is too short are dropped."""
     (head, value), least, _, hint = rule
-    pattern = F.lit(rf"(?s)(.*?)({head})({value})")
+    pattern = F.lit(rf"(?s)\G(.*?)({head})({value})")
     gap, lead, body = (F.regexp_extract_all(text, pattern, F.lit(group)) for group in (1, 2, 3))
 
     def place(parts: Column) -> Column:
