@@ -25,16 +25,16 @@ from tribolens.plans.storage import materialise
 
 K, S = 8, 2
 CELL_BITS, LEVEL_BITS = 6, 12
-ANCHORS = "array<struct<place:int,anchor:int>>"
+ANCHOR_BITS = 32
 
 
 def anchors(text: Column) -> Column:
-    """(place, anchor) of the closed syncmers of a text."""
+    """Closed syncmers of a text, each as one long: word place in the upper half, anchor hash in the lower."""
     span = K - S
 
     def short(h: Column) -> Column:
         whole = F.xxhash64(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x)))
-        return F.array(F.struct(F.lit(0).alias("place"), folded(whole).alias("anchor")))
+        return F.array(placed(F.lit(0), whole))
 
     def closed(s: Column) -> Column:
         def is_anchor(i: Column) -> Column:
@@ -42,8 +42,7 @@ def anchors(text: Column) -> Column:
             return F.least(F.get(s, i), F.get(s, i + span)) <= inner
 
         places = F.filter(F.sequence(F.lit(0), F.size(s) - 1 - span), is_anchor)
-        return F.transform(places, lambda i: F.struct(i.alias("place"), folded(
-            F.xxhash64(*(F.get(s, i + j) for j in range(0, span + 1, S)))).alias("anchor")))
+        return F.transform(places, lambda i: placed(i, F.xxhash64(*(F.get(s, i + j) for j in range(0, span + 1, S)))))
 
     def inner_hashes(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(h) - S),
@@ -51,28 +50,31 @@ def anchors(text: Column) -> Column:
 
     def of_words(h: Column) -> Column:
         return (F.when(F.size(h) >= K, let(inner_hashes(h), closed))
-                .when(F.size(h) > 0, short(h)).otherwise(F.array()).cast(ANCHORS))
+                .when(F.size(h) > 0, short(h)).otherwise(F.array().cast("array<long>")))
 
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return let(F.transform(words, lambda w: F.xxhash64(w)), of_words)
 
 
-def folded(hash_: Column) -> Column:
-    """Upper half of a 64-bit hash."""
-    return F.shiftright(hash_, 32).cast("int")
+def placed(place: Column, hash_: Column) -> Column:
+    return F.shiftleft(place.cast("long"), ANCHOR_BITS).bitwiseOR(F.shiftrightunsigned(hash_, 64 - ANCHOR_BITS))
+
+
+def anchor_of(item: Column) -> Column:
+    return item.bitwiseAND((1 << ANCHOR_BITS) - 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets of anchors."""
-    x, y = (F.transform(c, lambda s: s["anchor"]) for c in (a, b))
+    x, y = (F.transform(c, anchor_of) for c in (a, b))
     union = F.size(F.array_union(x, y))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
 def listed(found: Column) -> Column:
     """Fingerprint as text: place and anchor in hexadecimal, in order."""
-    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.hex(s["place"].cast("long")), F.hex(
-        s["anchor"].cast("long").bitwiseAND(0xFFFFFFFF)))), ",")
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(
+        ":", F.hex(F.shiftright(s, ANCHOR_BITS)), F.hex(anchor_of(s)))), ",")
 
 
 def following(keys: DataFrame) -> DataFrame:
