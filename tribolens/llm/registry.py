@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tribolens.llm import ngram_jaccard, packing, quality, secrets, substring_dedup, syncmers, token_store, winnowing
+from tribolens.llm import (
+    licenses, lm_scoring, ngram_jaccard, packing, quality, secrets, substring_dedup, syncmers, token_store, winnowing,
+)
 
 
 def tokenizer() -> str:
@@ -32,6 +34,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a source and language; short ones are the licence files of their directory."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+    name = F.when(F.length("text") <= 300, F.concat(F.lit("LICENSE."), number)).otherwise(
+        F.concat_ws("/", (F.col("doc_id") % 10).cast("string"), F.concat(number, F.lit(".txt"))))
+    return licenses.scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", name).alias("path"), "text"))
+
+
 def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = secrets.base_spans(F.col("spans"))
@@ -62,6 +73,10 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(packing.packed_sequences(table(spark, sf_dir, "documents"), tokenizer()))
 
@@ -71,5 +86,7 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
                          F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_token_store, op3_quality, op5_secret_links, op6_syncmers, op7_substring_dedup, op8_winnowing, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard, op2_token_store, op3_quality, op4_license_scan, op5_secret_links, op6_syncmers,
+    op7_substring_dedup, op8_winnowing, op9_lm_scoring, op10_packing)}
 ORACLES: dict[str, str] = {}
