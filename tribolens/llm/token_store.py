@@ -22,10 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tribolens.llm.columns import small_side
 from tribolens.llm.words import chunks
 from tribolens.plans.storage import materialise, new_table_path
 
-TOKENIZE_BYTES = 4 << 20
+TOKENIZE_BYTES = 3 << 20
 LENGTHS = np.stack([np.arange(256) >> shift & 3 for shift in (0, 2, 4, 6)], 1).astype(np.uint8) + 1
 
 
@@ -138,7 +139,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks")
     sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = sizes.select("part", before.alias("before"))
+    parts = small_side(materialise(sizes.select("part", before.alias("before"))))
     read = blocks.mapInArrow(decode, "doc_id long, part int, start long, n_tokens long, ids binary")
     return read.join(parts, "part").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids")
 

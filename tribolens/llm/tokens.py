@@ -16,7 +16,6 @@ from tribolens.llm.words import Words, text_bytes, word_hashes
 
 END = 1
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-JOINED = 512
 WHITE, GLUE, LETTER, DIGIT, SIGN = range(5)
 
 
@@ -54,6 +53,27 @@ def pieces(texts: pa.Array) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, places))
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself if it is printable, else one above 255, in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
+
+
+LETTER_OF = byte_letters()
+
+
+def spelled(piece: str) -> str | None:
+    """A piece of letters as the vocabulary spells it; None for any other, and where case or composition is not plain."""
+    if piece.isascii():
+        return piece if piece.isalpha() else None
+    # The capital sigma is the one letter whose lower case depends on its neighbours.
+    low = piece.lower()
+    if not low.isalpha() or len(low) != len(piece) or "\u03a3" in piece or not unicodedata.is_normalized("NFC", piece):
+        return None
+    return low.encode().decode("latin-1").translate(LETTER_OF)
+
+
 class Encoder:
     """Encodes batches of texts; remembers the ids of every piece seen so far in the task."""
 
@@ -61,9 +81,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.closing = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        for token, number in self.tokenizer.get_vocab().items():
-            self.closing[number] = token.endswith("</w>")
         self.known = np.empty(0, np.uint64)
         self.place = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
@@ -73,25 +90,21 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, np.uint32) for x in found]
 
-    def encode_pieces(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each piece; pieces of letters go through the tokenizer many at a time, told apart by closing tokens."""
-        result: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        simple = [i for i, t in enumerate(texts) if t.isascii() and t.isalpha() or
-                  t.isalpha() and unicodedata.normalize("NFC", t).lower().isalpha()]
-        for first in range(0, len(simple), JOINED):
-            group = simple[first : first + JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(texts[i] for i in group), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.closing[ids]) + 1
-            parts = np.split(ids, ends[:-1]) if len(ends) == len(group) else self.plain([texts[i] for i in group])
-            for i, part in zip(group, parts):
-                result[i] = part
-        rest = sorted(set(range(len(texts))) - set(simple))
-        for i, part in zip(rest, self.plain([texts[i] for i in rest])):
-            result[i] = part
-        return result
-
-    def learn(self, found: Words, hashes: np.ndarray) -> None:
-        new, first = np.unique(hashes, return_index=True)
+    def encode_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and their number per piece; letters go straight to the merges, the rest through the whole tokenizer."""
+        plain = [spelled(t) for t in texts]
+        rest = iter(self.plain([t for t, p in zip(texts, plain) if p is None]))
+        ids: list[int] = []
+        sizes = []
+        merges = self.tokenizer.model.tokenize
+        for word in plain:
+            found = next(rest).tolist() if word is None else [token.id for token in merges(word)]
+            ids += found
+            sizes.append(len(found))
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+
+    def learn(self, found: Words, new: np.ndarray, first: np.ndarray) -> None:
+        """Encode pieces of unknown hash; `first` is a place where each stands."""
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, new), len(self.known) - 1)
             fresh = self.known[at] != new
@@ -99,34 +112,32 @@ class Encoder:
         if not len(new):
             return
         raw = found.data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist())]
-        parts = self.encode_pieces(texts)
+        ids, sizes = self.encode_pieces(
+            [raw[a:b].decode() for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist())])
         place = np.arange(len(new)) + len(self.begin) - 1
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(p) for p in parts])])
-        self.ids = np.concatenate([self.ids, *parts])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
         self.known, self.place = np.concatenate([self.known, new]), np.concatenate([self.place, place])
-        order = np.argsort(self.known)
+        order = np.argsort(self.known, kind="stable")
         self.known, self.place = self.known[order], self.place[order]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one behind the other, each text closed by END, and the place where each text begins."""
         found = pieces(texts)
-        hashes = word_hashes(found)
-        self.learn(found, hashes)
-        rows = len(texts)
-        owner = np.searchsorted(found.bounds, np.arange(len(hashes)), side="right") - 1
-        if len(hashes):
-            item = self.place[np.searchsorted(self.known, hashes)]
-            size = self.begin[item + 1] - self.begin[item]
-        else:
-            item = size = np.empty(0, np.int64)
-        per_row = np.bincount(owner, size, rows).astype(np.int64) + 1
-        begin = np.concatenate([[0], np.cumsum(per_row)])
+        distinct, first, inverse = np.unique(word_hashes(found), return_index=True, return_inverse=True)
+        self.learn(found, distinct, first)
+        rows, pieces_of = len(texts), np.diff(found.bounds)
+        item = self.place[np.searchsorted(self.known, distinct)][inverse] if len(distinct) else np.empty(0, np.int64)
+        size = self.begin[item + 1] - self.begin[item]
+        place = np.cumsum(size) - size + np.repeat(np.arange(rows), pieces_of)
+        ends = np.concatenate([[0], np.cumsum(size)])[found.bounds[1:]]
+        begin = np.concatenate([[0], ends + np.arange(1, rows + 1)])
         out = np.full(begin[-1], END, np.uint32)
-        total = int(size.sum())
-        before = np.cumsum(size) - size
-        step = np.arange(total) - np.repeat(before, size)
-        out[np.repeat(before + owner, size) + step] = self.ids[np.repeat(self.begin[item], size) + step]
+        # Ids of all pieces by their rank in the piece: most pieces have few.
+        for rank in range(int(size.max(initial=0))):
+            more = size > rank
+            place, item, size = place[more], item[more], size[more]
+            out[place + rank] = self.ids[self.begin[item] + rank]
         return self.corrected(texts, out, begin)
 
     def corrected(self, texts: pa.Array, out: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
