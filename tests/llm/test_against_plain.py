@@ -1,0 +1,253 @@
+"""Operators against brute force on a small corpus."""
+
+import zlib
+
+import numpy as np
+import plain
+import pytest
+from pyspark.sql import functions as F
+
+from tribolens.llm import (
+    licenses, lm_scoring, ngram_jaccard, packing, registry, secrets, sketch, substring_dedup, syncmers, token_store, tokens,
+    winnowing, words,
+)
+
+
+@pytest.mark.parametrize("k,percent", [(4, 85), (2, 60)])
+def test_similar_groups(docs, rows, k, percent):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in ngram_jaccard.similar_groups(docs, k, percent).collect()}
+    assert got == plain.similar_groups(rows, k, percent)
+
+
+@pytest.mark.parametrize("window", [50, 7])
+def test_repeated_passages(docs, rows, window):
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"])
+           for r in substring_dedup.remove_repeated_passages(docs, window).collect()}
+    assert got == plain.kept_passages(rows, window)
+
+
+def test_full_sketch_loses_nothing(docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "WIDTHS", (32, 32))
+    monkeypatch.setattr(ngram_jaccard, "SHARED_WIDTHS", (32, 32))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"])
+           for r in substring_dedup.remove_repeated_passages(docs).collect()}
+    assert got == plain.kept_passages(rows, 50)
+    groups = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.similar_groups(docs).collect()}
+    assert groups == plain.similar_groups(rows, 4, 85)
+
+
+def test_pairs_by_shuffle(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_PAIRS", 0)
+    groups = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.similar_groups(docs).collect()}
+    assert groups == plain.similar_groups(rows, 4, 85)
+
+
+def test_contamination(spark, docs, rows):
+    texts = [t for _, t in rows]
+    items = [(1, texts[2][:200]), (2, " ".join(texts[9].split()[5:30]).upper()), (3, "one"), (4, "a-b c!"), (5, ""), (6, None),
+             (None, texts[4]), (10, texts[41]), (2, " ".join(texts[9].split()[5:30])), (7, "ab ab ab ab ab ab ab ab ab ab ab")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in winnowing.contamination(docs, benchmark).collect()}
+    want = plain.contamination(rows, [x for x in items if x[0] is not None], 10)
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 3
+
+
+def test_spans(docs, rows):
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(docs).collect()}
+    for i, text in rows:
+        assert [s for s in got[i] if s[1] < len(secrets.BASE)] == plain.base_spans(text), text
+    kinds = {i: [s[3] for s in got[i]] for i, _ in rows}
+    ids = [i for i, _ in rows[-3:]]
+    assert kinds[ids[0]] == ["assign", "user", "endpoint"]
+    assert kinds[ids[1]][:4] == ["access", "hex", "assign", "bare"]
+    assert set(kinds[ids[2]]) == {"user", "endpoint"}
+
+
+def test_weak_part_needs_another_role_in_scope(spark):
+    far = "x" * 300
+    docs = spark.createDataFrame([(1, f"user=joe {far} password=abcdef"), (2, "user=joe password=abcdef"),
+                                  (3, "user=joe login=ann")], "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(docs).collect()}
+    assert got == {1: ["assign"], 2: ["user", "assign"], 3: []}
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(1, "é password=abcdef0123456789abcdef0123 end"), (2, "clean")], "doc_id long, text string")
+    found = docs.join(secrets.scan(docs), "doc_id").select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("t"))
+    assert dict(found.collect()) == {1: "é [REDACTED] end", 2: "clean"}
+
+
+def test_following_keys(spark):
+    keys = sorted({k * k * 7919 - 10**6 for k in range(300)} | {5, 6, 7, 1 << 60})
+    table = spark.createDataFrame([(k,) for k in keys], "key long")
+    assert dict(syncmers.following(table).collect()) == dict(zip(keys, [*keys[1:], None]))
+
+
+def test_edited_texts_and_likeness(docs, rows):
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(docs).select(
+        "doc_id", "edited", "anchors", syncmers.likeness(F.col("anchors"), F.col("edited_anchors")).alias("near")).collect()}
+    for (i, text), (_, later) in zip(rows, [*rows[1:], rows[0]]):
+        part = len(text) // 4
+        assert got[i]["edited"] == text[: len(text) - part] + later[:part]
+        assert 0 <= got[i]["near"] <= 1
+    assert got[rows[0][0]]["anchors"] == got[rows[51][0]]["anchors"]
+    long = [got[i]["near"] for i, t in rows if len(t) > 600]
+    assert min(long) > 0.4
+
+
+def test_closed_syncmers(spark):
+    """A passage has the same anchors wherever it stands, and anchors lie no further apart than the span."""
+    body = " ".join(f"word{i * i % 101}" for i in range(80))
+    docs = spark.createDataFrame([(1, body), (2, "some other head " + body + " tail")], "doc_id long, text string")
+    a, b = (r[0] for r in docs.orderBy("doc_id").select(syncmers.anchors(F.col("text"))).collect())
+    moved = [((x >> 32) + 3, x & 0xFFFFFFFF) for x in a]
+    assert set(moved) <= {(x >> 32, x & 0xFFFFFFFF) for x in b}
+    places = [x >> 32 for x in a]
+    assert max(np.diff(places)) <= syncmers.K - syncmers.S
+
+
+def tokenizer_ids(texts):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(registry.tokenizer()).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    return [np.array([*x.ids, tokens.END], "<u4") for x in found]
+
+
+ODD_TEXTS = ["", None, "it's don't I'LL  a1b22c—…. x", "İstanbul K éá.́!", "½ ٣ '' 's's", "<|endoftext|>hi <|startoftext|>",
+             "ﬁne ǅ ß ΣΑΣ ΟΔΟΣ", "a\x1cb\x85c", "éé're 日本語 🙂!", "été ẛ̣", "!́ 1́"]
+
+
+def test_encoder_matches_the_tokenizer(rows):
+    import pyarrow as pa
+
+    texts = ODD_TEXTS + [t for _, t in rows]
+    encoder = tokens.Encoder(registry.tokenizer())
+    for part in (texts[:7], texts[7:], texts):
+        ids, begin = encoder.encode(pa.array(part, pa.string()))
+        for text, a, b, want in zip(part, begin[:-1], begin[1:], tokenizer_ids(part)):
+            assert ids[a:b].tolist() == want.tolist(), text
+
+
+def test_store_round_trip(docs, rows):
+    want, at = {}, 0
+    for (i, _), ids in zip(sorted(rows), tokenizer_ids([t for _, t in sorted(rows)])):
+        want[i] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    found = token_store.new_store(docs, registry.tokenizer()).select("doc_id", "start", "n_tokens", F.crc32("ids"))
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == want
+
+
+def test_codes_of_every_width():
+    ranks = np.array([0, 255, 256, 65535, 65536, 0xFFFFFF, 0x1000000, 0xFFFFFFFF, 3], np.uint32)
+    for n in range(len(ranks) + 1):
+        assert token_store.decode_ranks(*token_store.encode_ranks(ranks[:n]), n).tolist() == ranks[:n].tolist()
+
+
+@pytest.mark.parametrize("window,shard", [(64, 5), (2048, 2000)])
+def test_packing(docs, rows, window, shard, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", shard)
+    pieces = packing.packed_sequences(docs, registry.tokenizer(), window).collect()
+    ids = dict(zip((i for i, _ in rows), tokenizer_ids([t for _, t in rows])))
+    texts, sequences = {}, {}
+    for p in pieces:
+        assert p["doc_tokens"] == len(ids[p["doc_id"]]) and len(p["ids"])
+        texts.setdefault(p["doc_id"], []).append((p["start"], bytes(p["ids"])))
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], len(p["ids"]) // 4))
+    assert {i: b"".join(x for _, x in sorted(parts)) for i, parts in texts.items()} == {i: x.tobytes() for i, x in ids.items()}
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        total = sum(n for _, n in parts)
+        assert total <= window and total & (total - 1) == 0
+
+
+def test_packing_prefers_related_documents():
+    rng = np.random.default_rng(1)
+    topics = [rng.integers(1000 * k, 1000 * k + 60, 400).astype(np.uint32) for k in range(4)]
+    items = [packing.Item(k * 10 + j, rng.permutation(topics[k])[:300]) for j in range(8) for k in range(4)]
+    sequences, _ = packing.pack(items, 900)
+    pure = sum(len({item.doc_id // 10 for item, _, _ in pieces}) == 1 for pieces in sequences)
+    assert pure >= 0.7 * len(sequences)
+
+
+def test_cross_entropy_difference(spark, docs, rows):
+    """Against counts in dictionaries over the same token numbers."""
+    import pyarrow as pa
+
+    labels = spark.createDataFrame([(i, int(n % 3 > 0), int(n % 5 == 0)) for n, (i, _) in enumerate(rows)],
+                                   "doc_id long, quality int, toxic int")
+    known = lm_scoring.vocabulary(docs)
+    numbers = {i: lm_scoring.token_numbers(words.split(pa.array([t]), True), known).tolist() for i, t in rows}
+    target = {i for n, (i, _) in enumerate(rows) if n % 3 and n % 5}
+    model = {}
+    for name, part in (("t", target), ("b", set(numbers))):
+        pair, single = {}, {}
+        for i in part:
+            for a, b in zip([lm_scoring.START, *numbers[i]], numbers[i]):
+                pair[a, b] = pair.get((a, b), 0) + 1
+                single[b] = single.get(b, 0) + 1
+        model[name] = pair, single
+    scale = sum(model["t"][1].values()) / sum(model["b"][1].values())
+
+    def loss(name, i):
+        pair, single = model[name]
+        by = scale if name == "b" else 1
+        n = sum(single.values()) * by
+        total = 0
+        for a, b in zip([lm_scoring.START, *numbers[i]], numbers[i]):
+            p1 = (single.get(b, 0) * by + 1) / (n + lm_scoring.SIZE)
+            before = sum(v for (x, _), v in pair.items() if x == a) * by
+            total -= np.log2((pair.get((a, b), 0) * by + lm_scoring.MASS * p1) / (before + lm_scoring.MASS))
+        return total / len(numbers[i])
+
+    for r in lm_scoring.score(docs, labels).collect():
+        if r["n_tokens"]:
+            assert abs(r["target_loss"] - loss("t", r["doc_id"])) < 1e-4
+            assert abs(r["difference"] - loss("t", r["doc_id"]) + loss("b", r["doc_id"])) < 2e-4
+        else:
+            assert r["difference"] is None
+
+
+def test_licences(spark):
+    files = [(1, "a/LICENSE", "text\nReleased under the MIT License.\n"), (2, "a/b/c.py", "no words"), (3, "a/b/COPYING",
+             "This work is licensed under the GNU General Public License, version 3."), (4, "a/b/d/e.py", ""),
+             (5, "a/x.py", "x\nlicensed under cc by-nc 4.0"), (6, "z.py", "the license of the work is under version 3 of the terms"),
+             (7, None, "Licensed under the Apache License, Version 2.0."), (8, "LICENSE", "plain"), (9, "a/bb/f.py", None)]
+    got = {r["doc_id"]: (r["own_license"], r["license"], r["inherited_from"])
+           for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", "MIT", None), 2: (None, "GPL-3.0", "a/b/"), 3: ("GPL-3.0", "GPL-3.0", None),
+                   4: (None, "GPL-3.0", "a/b/"), 5: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 6: (None, None, None),
+                   7: ("Apache-2.0", "Apache-2.0", None), 8: (None, None, None), 9: (None, "MIT", "a/")}
+
+
+def test_licence_scores(spark, docs, rows):
+    """The join of lines and templates gives the plain cosine, and the hint loses no line at the threshold."""
+    import math
+    import re
+
+    texts = [(i, t) for i, t in rows[:10]] + [(9001, "Released under the MIT License."), (9002, "x under the Apache License"),
+                                              (9003, "GNU General Public License, version 3 or later, as you like")]
+    files = spark.createDataFrame([(i, str(i), t) for i, t in texts], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["own_license"], r["own_score"]) for r in licenses.scan(files, 0.6).collect()}
+    idf, unseen = licenses.frequencies(files)
+    vectors = licenses.template_vectors(idf)
+    for i, text in texts:
+        best = (0, None)
+        for line in text.split("\n"):
+            found = [w for w in re.split(licenses.WORD_BREAK, line.lower()) if w]
+            x = {w: (1 + math.log(found.count(w))) * idf.get(w, unseen) for w in found}
+            norm = math.sqrt(sum(v * v for v in x.values())) or 1
+            for (name, _), vector in zip(licenses.TEMPLATES, vectors):
+                score = sum(v * x.get(w, 0) for w, v in vector.items()) / norm
+                best = max(best, (round(score, 6), name), key=lambda b: b[0])
+        assert got[i] == ((best[1], best[0]) if best[0] >= 0.6 else (None, None)) or abs(got[i][1] - best[0]) < 2e-6
+
+
+def test_sketch_never_underestimates(spark):
+    values = np.concatenate([np.arange(3000), np.arange(500), np.arange(100)]).astype(np.uint64)
+    table = spark.createDataFrame([(int(v),) for v in values], "v long").repartition(5)
+    bits = np.frombuffer(sketch.build(table, lambda b: iter([words.mix(b.column("v").to_numpy().astype(np.uint64))]), 1 << 14, 3,
+                                      2, sketch.repeated_bits), np.uint8)
+    twice = sketch.seen_twice(bits, words.mix(np.arange(3000).astype(np.uint64)), 1 << 14, 3)
+    assert twice[:500].all() and twice.mean() < 0.4
