@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tribolens.functions import cleaning as c
-from tribolens.operators import anomaly, baseline, evaluation as ev, telemetry as tele, triage
+from tribolens.operators import anomaly, baseline, evaluation as ev, point_in_time, telemetry as tele, triage
 from tribolens.operators.work_orders import prepare_work_orders
 from tribolens.plans.analysis import run
 from tribolens.sources.headers import AmbiguousHeader
@@ -170,3 +170,46 @@ def test_batch_job(spark, tmp_path):
     assert spark.read.parquet(f"{out}/cases").count() == 1
     summary = spark.read.json(f"{out}/summary").first()
     assert summary.sample_rows == 2 and summary.matched_assets == 1 and summary.dataset_metrics.p1_immediate_records == 1
+
+
+def test_numbers_are_plain_decimals(spark):
+    cells = ["12", " 1.5 ", "-.5", "1e3", "+7.", "inf", "12D", "1.5f", "0x1p3", "1d", "NaN", "", "1 2", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(cells)], "i int, x string")
+    got = [r[0] for r in rows.orderBy("i").select(c.number(F.col("x"))).collect()]
+    assert got == [12.0, 1.5, -0.5, 1000.0, 7.0, float("inf")] + [None] * 8
+    assert rows.select(c.number(F.col("i")).alias("n")).agg(F.sum("n")).first()[0] == 91
+
+
+def test_date_layouts(spark):
+    """Month first where day and month could be exchanged."""
+    wanted = {
+        "1/2/2025 3:04 PM": "2025-01-02 15:04:00", "1/2/2025 3:04:05 PM": "2025-01-02 15:04:05",
+        "2025-01-02 03:04 PM": "2025-01-02 15:04:00", "2025/01/02": "2025-01-02 00:00:00", "02-Jan-2025": "2025-01-02 00:00:00",
+        "02-JAN-2025 4:05": "2025-01-02 04:05:00", "1/2/25": "2025-01-02 00:00:00", "20250102": "2025-01-02 00:00:00",
+        "1/2/2025 03:04:05.123": "2025-01-02 03:04:05.123", "2025/1/2 3:04 am": "2025-01-02 03:04:00",
+        "2025-01-02T03:04:05": "2025-01-02 03:04:05", "1/2/2025 13:04": "2025-01-02 13:04:00", "13/1/2025": None, "00:00:00": None,
+        "soon": None, "99999999": None,
+    }
+    rows = spark.createDataFrame(list(wanted.items()), "x string, want string")
+    parsed = c.timestamp(F.col("x"), T.StringType()).cast("string")
+    assert {r[0]: r[1] for r in rows.select("x", parsed).collect()} == wanted
+
+
+def test_trees_get_their_share_at_every_size(spark):
+    for count in (300, 5_000, 200_000):
+        readings = spark.range(count).select(F.col("id").cast("string").alias("reading_key"))
+        sizes = [r[1] for r in anomaly._tree_samples(readings, count).groupBy("tree").count().collect()]
+        assert len(sizes) == anomaly.TREES and abs(sum(sizes) / len(sizes) - anomaly.SUBSAMPLE) < 12
+
+
+def test_sliding_medians_of_crowded_and_single_groups():
+    rng = np.random.default_rng(3)
+    group = np.sort(rng.integers(0, 6, 4000))
+    at = np.sort(rng.integers(0, 60 * point_in_time.DAY, 4000)) % (60 * point_in_time.DAY)
+    order = np.lexsort((at, group))
+    group, at = group[order], at[order]
+    values, sample = rng.random(4000), rng.random(4000) < 0.3
+    got = point_in_time._sliding_medians(group, at, values, sample)
+    for place, median in list(zip(np.flatnonzero(sample), got))[::37]:
+        frame = (group == group[place]) & (at >= at[place] - 30 * point_in_time.DAY) & (np.arange(4000) <= place) & ~sample
+        assert np.isnan(median) if not frame.any() else abs(median - np.median(values[frame])) < 1e-12

@@ -391,8 +391,8 @@ SELECT a.*, a.sample_date IS NOT NULL AND EXISTS (SELECT 1 FROM telemetry t WHER
        a.sample_date IS NOT NULL AND a.asset_id IN (SELECT asset_id FROM work_orders) IS TRUE
          AS work_order_history_available FROM alerts a)""")
 cte("pct", "raw_samples", """
-SELECT SampleNum AS source_row, CASE WHEN right(SampleNum, 1) <> '7' THEN
-  (ascii(right(SampleNum, 1)) * 7 + length(SampleNum) * 11 + ascii(SampleNum)) % 100 END AS pct FROM raw_samples""")
+SELECT SampleNum AS source_row, 
+  (ascii(right(SampleNum, 1)) * 7 + length(SampleNum) * 11 + ascii(SampleNum)) % 100 AS pct FROM raw_samples""")
 cte("scored_cards", "cards pct", "SELECT c.*, p.pct::INT AS failure_probability_pct FROM cards c JOIN pct p USING (source_row)")
 RANK = "CASE priority_tier " + " ".join(f"WHEN {q(t)} THEN {i}" for i, t in enumerate(fv.TIERS)) + " ELSE 9 END"
 cte("findings", "scored_cards", f"""

@@ -122,7 +122,7 @@ SELECT concat('W-', cast(event_id AS string)) AS WorkOrderId, concat('EQ-', cast
        CASE event_id % 7 WHEN 0 THEN 'part replaced' ELSE NULL END AS ActionTaken,
        CASE event_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '0' WHEN 2 THEN 'Yes' WHEN 3 THEN ' n ' WHEN 4 THEN NULL
             ELSE 'maybe' END AS FailureConfirmed
-FROM events WHERE event_type = 'error' AND user_id % 5 <> 0
+FROM events WHERE event_type = 'error'
 """
 
 

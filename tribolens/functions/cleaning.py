@@ -41,9 +41,18 @@ def component_code(value: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup(fv.COMPONENT_ALIASES), code), code)
 
 
+NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
+
+
 def number(value: Column) -> Column:
-    """Double, with text that is no number and NaN folded into NULL."""
-    return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
+    """Double, with text that is no number and NaN folded into NULL.
+
+    The cast alone would also take type suffixes and hexadecimal floats, as in the asset code `12D`.
+    """
+    parsed = value.try_cast("double")
+    # The type of a column is known to the optimizer, which leaves one of the branches.
+    plain = F.when(F.typeof(value) != "string", parsed).when(value.cast("string").rlike(NUMBER), parsed)
+    return F.nanvl(plain, F.lit(None).cast("double"))
 
 
 def finite_or(value: Column, default: float | None) -> Column:
@@ -102,16 +111,22 @@ def timestamp(value: Column, dtype: T.DataType) -> Column:
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
     text = value
-    return F.coalesce(
-        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp_ntz")),
-        F.when(
-            text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"),
-            F.coalesce(
-                F.try_to_timestamp(text, F.lit("M/d/yyyy")),
-                F.try_to_timestamp(text, F.lit("M/d/yyyy H:mm")),
-                F.try_to_timestamp(text, F.lit("M/d/yyyy H:mm:ss")),
-            ).cast("timestamp_ntz"),
-        ),
+    iso = F.replace(text, F.lit("/"), F.lit("-"))
+
+    def first_of(*layouts: str) -> Column:
+        return F.coalesce(*(F.try_to_timestamp(text, F.lit(x)) for x in layouts)).cast("timestamp_ntz")
+
+    def with_times(day: str) -> list[str]:
+        return [f"{day}{time}" for time in ("", " H:mm[:ss]", " H:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]", " h:mm[:ss] a")]
+
+    return (
+        F.when(text.rlike(r"(?i)^\d{4}-\d{1,2}-\d{1,2}\s.*[ap]m$"), first_of("yyyy-M-d h:mm[:ss] a"))
+        .when(text.rlike(r"(?i)^\d{4}/\d{1,2}/\d{1,2}\s.*[ap]m$"), first_of("yyyy/M/d h:mm[:ss] a"))
+        .when(text.rlike(r"^\d{4}([-/])\d{1,2}\1\d{1,2}"), iso.try_cast("timestamp_ntz"))
+        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), first_of(*with_times("M/d/yyyy")))
+        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}(\s|$)"), first_of(*with_times("M/d/yy")))
+        .when(text.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{4}"), first_of(*with_times("d-MMM-yyyy")))
+        .when(text.rlike(r"^\d{8}$"), first_of("yyyyMMdd"))
     )
 
 

@@ -59,6 +59,20 @@ def _features(telemetry: DataFrame, medians: dict[str, float], missing: list[str
     return values + marks
 
 
+def _tree_samples(readings: DataFrame, count: int) -> DataFrame:
+    """Readings with the trees they grow, about SUBSAMPLE for each tree, by one rule for any number of readings.
+
+    A reading joins TREES * SUBSAMPLE / count trees on average, at most all: the whole part of that many, and one more where
+    a hash of its key falls below the fraction. They are consecutive trees from one that another hash picks.
+    """
+    share = min(float(TREES), TREES * SUBSAMPLE / count)
+    unit = F.pmod(F.xxhash64("reading_key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = F.floor(F.lit(share) + unit).cast("int")
+    first = F.pmod(F.xxhash64("reading_key", F.lit(SEED)), F.lit(TREES))
+    trees = F.transform(F.sequence(F.lit(0), times - 1), lambda i: ((first + i) % TREES).cast("int"))
+    return readings.filter(times > 0).withColumns({"tree": F.explode(trees), "_h": F.xxhash64("reading_key")})
+
+
 def score_telemetry(telemetry: DataFrame) -> DataFrame:
     """Add `telemetry_anomaly_score` in [0, 1] and `telemetry_anomaly` (about the highest 5 %)."""
     known = {n: c.finite_or(F.col(n), None) for n in fv.ANOMALY_FEATURES}
@@ -73,28 +87,18 @@ def score_telemetry(telemetry: DataFrame) -> DataFrame:
     inputs = _features(telemetry, medians, missing)
     spark = telemetry.sparkSession
 
-    # At most TREES * SUBSAMPLE readings, whatever the size of the table, chosen by a hash of their key.
-    pool = (
-        telemetry.select(F.xxhash64("reading_key").alias("_h"), "reading_key", *inputs)
-        .orderBy("_h", "reading_key").limit(TREES * SUBSAMPLE).drop("_h", "reading_key").toPandas().to_numpy(float))
-    shared = spark.sparkContext.broadcast(pool)
-    take = min(SUBSAMPLE, len(pool))
-
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = shared.value
-        for batch in batches:
-            for tree in batch["id"]:
-                rng = np.random.default_rng([SEED, int(tree)])
-                if len(rows) >= TREES * SUBSAMPLE:
-                    chosen = rows[int(tree) * SUBSAMPLE:(int(tree) + 1) * SUBSAMPLE]
-                else:
-                    chosen = rows[rng.choice(len(rows), take, replace=False)]
-                nodes = grow_tree(chosen, rng)
-                yield pd.DataFrame([(int(tree), *node) for node in nodes],
-                                   columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
-
-    grown = spark.range(0, TREES, numPartitions=min(TREES, 50)).mapInPandas(grow, NODE_SCHEMA).toPandas()
-    grown = grown.sort_values(["tree", "node"])
+    take = min(SUBSAMPLE, facts["rows"])
+    names = [f"_x{i}" for i in range(len(inputs))]
+
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tree = int(key[0])
+        rows = rows.sort_values(["_h", "reading_key"])[names].to_numpy(float)
+        nodes = grow_tree(rows, np.random.default_rng([SEED, tree]))
+        return pd.DataFrame([(tree, *node) for node in nodes],
+                            columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
+
+    samples = _tree_samples(telemetry.select("reading_key", *(x.alias(n) for x, n in zip(inputs, names))), facts["rows"])
+    grown = samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas().sort_values(["tree", "node"])
     forest = [
         tuple(group[k].to_numpy() for k in ("feature", "cut", "left", "right", "depth"))
         for _, group in grown.groupby("tree", sort=True)]

@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +66,10 @@ def trailing_sums(samples: DataFrame, telemetry: DataFrame) -> DataFrame:
     ).withColumn("day", day_of(F.col("at")))
     in_day = Window.partitionBy("asset_id", "day").orderBy("at")
     to_here = in_day.rangeBetween(Window.unboundedPreceding, 0)
-    from_here = in_day.rangeBetween(0, Window.unboundedFollowing)
+    # The rest of the day as a running frame over the reversed order: a frame that ends at the end of the day would be
+    # summed anew for every row.
+    reversed_day = Window.partitionBy("asset_id", "day").orderBy(F.col("at").desc())
+    from_here = reversed_day.rangeBetween(Window.unboundedPreceding, 0)
     last = F.col("days") == 0
     partial = rows.select(
         "source_row", "asset_id", "day", "days",
@@ -106,17 +110,26 @@ def trailing_sums(samples: DataFrame, telemetry: DataFrame) -> DataFrame:
     )
 
 
-def _medians_of_group(at: np.ndarray, values: np.ndarray, is_sample: np.ndarray) -> np.ndarray:
-    """Median of the readings in the 30 days up to each sample of one (asset, period), in time order."""
-    times, known, moments = at[~is_sample], values[~is_sample], at[is_sample]
-    if len(moments) * len(times) > 5_000_000:
-        # Many samples over many readings: slide one ordered window instead of cutting one per sample.
-        rolled = pd.Series(np.where(is_sample, np.nan, values), index=pd.to_datetime(at, unit="us")).rolling(
-            f"{MEDIAN_DAYS}D", closed="both", min_periods=1).median()
-        return rolled.to_numpy()[is_sample]
-    first = np.searchsorted(times, moments - MEDIAN_DAYS * DAY, side="left")
-    last = np.searchsorted(times, moments, side="right")
-    return np.array([np.median(known[i:j]) if j > i else np.nan for i, j in zip(first, last)])
+class _Frames(BaseIndexer):
+    """Frames `start:end` of every row, both never falling."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.start, self.end
+
+
+def _sliding_medians(group: np.ndarray, at: np.ndarray, values: np.ndarray, is_sample: np.ndarray) -> np.ndarray:
+    """Median of the readings in the 30 days up to each sample of its group; rows are in order of group and time.
+
+    One ordered window slides over all groups, so the cost follows the rows, however many samples meet in a group.
+    """
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    begin = np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+    # A group spans two periods at most; its own stretch of the axis keeps frames inside it.
+    axis = at - at[begin] + np.cumsum(np.r_[False, group[1:] != group[:-1]]) * (4 * MEDIAN_DAYS * DAY)
+    first = np.maximum(np.searchsorted(axis, axis - MEDIAN_DAYS * DAY, side="left"), begin)
+    frames = _Frames(start=first.astype(np.int64), end=np.arange(1, len(at) + 1, dtype=np.int64))
+    known = pd.Series(np.where(is_sample, np.nan, values))
+    return known.rolling(frames, min_periods=1).median().to_numpy()[is_sample]
 
 
 def _trailing_medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,11 +137,9 @@ def _trailing_medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     def finished(rows: pd.DataFrame) -> pd.DataFrame:
         asset, period = rows["asset_id"].to_numpy(), rows["period"].to_numpy()
         at, values, is_sample = (rows[k].to_numpy() for k in ("at", "utilization", "is_sample"))
-        starts = np.flatnonzero(np.r_[True, (asset[1:] != asset[:-1]) | (period[1:] != period[:-1])])
-        medians = [_medians_of_group(at[i:j], values[i:j], is_sample[i:j])
-                   for i, j in zip(starts, np.r_[starts[1:], len(rows)])]
+        group = np.cumsum(np.r_[False, (asset[1:] != asset[:-1]) | (period[1:] != period[:-1])])
         return pd.DataFrame({"source_row": rows["source_row"].to_numpy()[is_sample],
-                             "mean_utilization_30d": np.concatenate(medians)})
+                             "mean_utilization_30d": _sliding_medians(group, at, values, is_sample)})
 
     waiting: list[pd.DataFrame] = []
     for batch in batches:

@@ -80,8 +80,8 @@ def split_series(
     precede the segment. Besides keys, time and row key only the `carried` columns are filled on copies.
 
     A row is a cut when the hash of its unique key is a multiple of `rows_per_segment`. The cuts are therefore the
-    same on every evaluation and number about 1 / rows_per_segment of the table (one in a million), which bounds
-    the two broadcasts. They are found first, in one pass over the key columns; without any the rows stay as they
+    same on every evaluation and number about 1 / rows_per_segment of the table (one in a million); whether their
+    two tables are broadcast is left to the optimizer, which knows their written size. They are found first, in one pass over the key columns; without any the rows stay as they
     are. A cut key is divided by day, and inside a day by the cuts lying in it.
     """
     day = F.to_date(time)
@@ -94,8 +94,8 @@ def split_series(
                                  "_before": F.lit(None).cast("long")})
     cut_keys = cuts.select(*keys).distinct().withColumn("_hot", F.lit(True))
     cut_days = cuts.groupBy(*keys, "_day").agg(F.sort_array(F.collect_list("_at")).alias("_cuts"))
-    marked = join_on(rows.withColumn("_day", day), F.broadcast(cut_keys), keys)
-    marked = join_on(marked, F.broadcast(cut_days), [*keys, "_day"])
+    marked = join_on(rows.withColumn("_day", day), cut_keys, keys)
+    marked = join_on(marked, cut_days, [*keys, "_day"])
     part = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
         F.size(F.filter("_cuts", lambda cut: cut <= position(time, row_key))))
     segment = F.struct(F.col("_day").isNull().alias("undated"), F.col("_day").alias("day"), part.alias("part"))
