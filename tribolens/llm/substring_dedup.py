@@ -10,7 +10,8 @@ A passage is a window of `window` consecutive words. Two passes read the texts:
 2. Windows whose anchor is estimated in two or more documents, and no others, are grouped exactly by their 64-bit hash: the
    least document id of each group decides which occurrences go. A false estimate costs a row, never a result.
 
-Grouping combines map-side, and the join back splits hot windows (AQE). Sketch width follows the text volume between fixed
+A window counts once per row, however often the row repeats it. Grouping combines map-side, and the join back splits hot
+windows (AQE). Sketch width follows the text volume between fixed
 bounds; past the upper bound more windows are grouped needlessly, with the same result.
 
 Defined results: null or empty text has no words. A text below `window` words loses nothing. A null id is neither earlier nor
@@ -20,7 +21,6 @@ ids; repeated rows give repeated results. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,7 +66,7 @@ def sketch_width(docs: DataFrame) -> int:
 
 
 def candidate_windows(docs: DataFrame, window: int) -> DataFrame:
-    """Windows whose anchor the merged sketch puts into two or more documents: (hash, doc_id, tag, place)."""
+    """Distinct windows per row whose anchor the merged sketch puts into two or more documents: (hash, doc_id, tag)."""
     width = sketch_width(docs)
 
     def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -87,29 +87,32 @@ def candidate_windows(docs: DataFrame, window: int) -> DataFrame:
                 for row, hashes, least in windows(part, window):
                     heads = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
                     twice = sketch.seen_twice(table, least[heads], width, DEPTH)
-                    place = np.flatnonzero(np.repeat(twice, np.diff(np.r_[heads, len(least)])))
-                    rows.append((hashes[place].view(np.int64), np.full(len(place), ids[row]),
-                                 np.full(len(place), tags[row], np.int32), place.astype(np.int32)))
+                    found = np.unique(hashes[np.repeat(twice, np.diff(np.r_[heads, len(least)]))])
+                    rows.append((found.view(np.int64), np.full(len(found), ids[row]),
+                                 np.full(len(found), tags[row], np.int32)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)],
-                                                     names=["hash", "doc_id", "tag", "place"])
+                                                     names=["hash", "doc_id", "tag"])
 
     return (docs.filter(F.col("doc_id").isNotNull())
-            .mapInArrow(candidates, "hash long, doc_id long, tag int, place int"))
+            .mapInArrow(candidates, "hash long, doc_id long, tag int"))
 
 
 def kept_words(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             data, places = text_bytes(part.column("text"))
+            gone_of = part.column("gone")
+            hashes_of = {row: hashes for row, hashes, _ in windows(part, window)} if gone_of.null_count < len(part) else {}
             sizes, removed, kept = [], [], []
-            for row, gone in enumerate(part.column("places").to_pylist()):
+            for row, gone in enumerate(gone_of):
                 words = data[places[row] : places[row + 1]].tobytes().split()
                 sizes.append(len(words))
-                if gone:
+                if gone.is_valid:
+                    first = np.flatnonzero(np.isin(hashes_of[row], gone.values.to_numpy().view(np.uint64)))
                     edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, gone, 1)
-                    np.add.at(edge, np.asarray(gone) + window, -1)
+                    edge[first] += 1
+                    edge[first + window] -= 1
                     covered = np.cumsum(edge[:-1]) > 0
                     words = [w for w, c in zip(words, covered.tolist()) if not c]
                 removed.append(sizes[-1] - len(words))
@@ -126,6 +129,6 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame
     first = found.groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     first = first.filter("first_id < last_id").select("hash", "first_id")
     gone = (found.join(first, "hash").filter("first_id < doc_id")
-            .groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places")))
-    return docs.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "places").mapInArrow(
+            .groupBy("doc_id", "tag").agg(F.collect_list("hash").alias("gone")))
+    return docs.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "gone").mapInArrow(
         lambda batches: kept_words(batches, window), "doc_id long, n_words long, n_removed long, kept string")
