@@ -213,3 +213,13 @@ def test_sliding_medians_of_crowded_and_single_groups():
     for place, median in list(zip(np.flatnonzero(sample), got))[::37]:
         frame = (group == group[place]) & (at >= at[place] - 30 * point_in_time.DAY) & (np.arange(4000) <= place) & ~sample
         assert np.isnan(median) if not frame.any() else abs(median - np.median(values[frame])) < 1e-12
+
+
+def test_csv_without_a_key_column(spark, tmp_path):
+    spark.createDataFrame([("a", "1"), ("a", "1"), ("b", None)], "x string, y string").coalesce(1).write.option(
+        "header", True).csv(str(tmp_path / "t.csv"))
+    keyed = load_table(spark, str(tmp_path / "t.csv"), row_key=True)
+    rows = keyed.collect()
+    assert len({r["source_row"] for r in rows}) == 3 and {r["source_row"] for r in keyed.collect()} == {
+        r["source_row"] for r in rows}
+    assert sorted((r["x"], r["y"] or "") for r in rows) == [("a", "1"), ("a", "1"), ("b", "")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tribolens.functions import cleaning as c
 from tribolens.functions import fixed_values as fv
+from tribolens.plans.storage import materialise
 from tribolens.sources.headers import pick, quoted, resolve
 
 
@@ -104,6 +105,12 @@ def enrich_samples(history: DataFrame, details: DataFrame | None, detail_key: li
         raise ValueError("the sample history needs a sample key column")
     wide = wide_details(clean_details(details, detail_key)).select(
         F.col("sample_key").alias("_sample_key"), *[F.col(n).alias("_d_" + n) for n in fv.DETAIL_COLUMNS])
+    shadowed = [n for n in fv.DETAIL_COLUMNS if resolve(history.columns, [n]) is None and _other_header(history, n)]
+    fills = {}
+    if shadowed:
+        # Written once: both the flags and the join read it.
+        wide = materialise(wide)
+        fills = wide.agg(*[F.bool_or(F.col("_d_" + n).isNotNull()).alias(n) for n in shadowed]).first().asDict()
     joined = history.withColumn("_key", c.identifier(quoted(sample))).join(
         wide, F.col("_key") == F.col("_sample_key"), "left")
     filled, added = {}, {}
@@ -112,9 +119,7 @@ def enrich_samples(history: DataFrame, details: DataFrame | None, detail_key: li
         other = _other_header(history, name)
         if present is None and other is not None:
             # A separate column shadows the other header, but only if some result fills it.
-            filled_somewhere = wide.agg(F.bool_or(F.col("_d_" + name).isNotNull())).scalar()
-            added[name] = F.when(F.coalesce(filled_somewhere, F.lit(False)), F.col("_d_" + name)).otherwise(
-                c.number(quoted(other)))
+            added[name] = F.col("_d_" + name) if fills[name] else c.number(quoted(other))
         elif present is None:
             added[name] = F.col("_d_" + name)
         else:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tribolens.plans.storage import new_table_path
 from tribolens.sources.headers import AmbiguousHeader, header_key
 
 ROW_KEY = "source_row"
@@ -14,19 +15,24 @@ ROW_KEY = "source_row"
 def load_table(spark: SparkSession, path: str, row_key: bool = False, multi_line: bool = False) -> DataFrame:
     """Read a CSV or Parquet table; any other extension is an error.
 
-    CSV cells stay text: types are coerced column by column later. With `row_key` a Parquet scan also
-    carries a stable key made of file name and position, for tables that have no unique key of their own.
+    CSV cells stay text: types are coerced column by column later. With `row_key` a scan also carries a stable key
+    made of file name and position, for tables that have no unique key of their own; a CSV table is staged as
+    Parquet for it once.
     `multi_line` accepts line breaks inside CSV cells, at the price of one task per file.
     """
     lowered = path.rstrip("/").lower()
     if lowered.endswith(".csv"):
-        if row_key:
-            raise ValueError("CSV rows have no stable position; stage the file as Parquet or name a key column")
         _reject_case_twins(spark, path)
-        return (
+        df = (
             spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
             .option("mode", "PERMISSIVE").csv(path)
         )
+        if not row_key:
+            return df
+        # Rows of a CSV scan have no stable position; those of its staged copy have.
+        staged = new_table_path(spark)
+        df.write.parquet(staged)
+        lowered, path = ".parquet", staged
     if lowered.endswith(".parquet"):
         df = spark.read.parquet(path)
         if not row_key:
