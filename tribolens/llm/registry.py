@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tribolens.llm import (
-    licenses, lm_scoring, ngram_jaccard, packing, quality, secrets, substring_dedup, syncmers, token_store, winnowing,
+    licenses, lm_scoring, ngram_jaccard, packing, quality, reference_sql, secrets, substring_dedup, syncmers, token_store,
+    winnowing,
 )
 
 
@@ -89,4 +90,5 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_token_store, op3_quality, op4_license_scan, op5_secret_links, op6_syncmers,
     op7_substring_dedup, op8_winnowing, op9_lm_scoring, op10_packing)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_ngram_jaccard": reference_sql.OP1, "op7_substring_dedup": reference_sql.OP7,
+           "op8_winnowing": reference_sql.OP8}
