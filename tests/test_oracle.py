@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import check_queries  # noqa: E402
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from tribolens.catalog import entries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 # Fits over the same tables take long and are covered by test_flow.
@@ -29,7 +30,7 @@ def test_flagship(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in entries.QUERIES if n not in SLOW])
 def test_query(spark, con, name):
     outcome, _, _, _ = check_queries.compare(spark, con, SF, name)
     assert outcome in ("ok", "rows only")

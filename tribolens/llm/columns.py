@@ -17,7 +17,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def small_side(table: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if it has at most BROADCAST_ROWS rows; else joins shuffle it."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def join_rows(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:

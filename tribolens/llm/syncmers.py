@@ -93,8 +93,9 @@ def following(keys: DataFrame) -> DataFrame:
         "key", F.coalesce("inside", "later").alias("next_key"))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Documents with `columns` of the next one by id, named next_*."""
+def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Documents with `columns` added, and with the text and these columns of the next one by id, named next_*."""
+    names = ["text", *columns]
     known = docs.filter("doc_id is not null").withColumn("cell", F.shiftright("doc_id", CELL_BITS))
     cells = materialise(known.groupBy("cell").agg(F.min("doc_id").alias("doc_id")))
     after = following(cells.select(F.col("cell").alias("key")))
@@ -103,9 +104,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
                                    .join(cells, "cell").select("doc_id", "to")))
     guests = known.join(heads, "doc_id").withColumn("cell", F.col("to")).drop("to").withColumn("guest", F.lit(1))
     order = Window.partitionBy("cell").orderBy("guest", "doc_id", F.hash("text"))
-    rows = known.withColumn("guest", F.lit(0)).unionByName(guests).select(
-        "*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).filter("guest = 0").drop("guest", "cell")
-    alone = docs.filter("doc_id is null").select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+    rows = known.withColumn("guest", F.lit(0)).unionByName(guests).withColumns(columns).select(
+        "*", *(F.lead(c).over(order).alias(f"next_{c}") for c in names)).filter("guest = 0").drop("guest", "cell")
+    alone = docs.filter("doc_id is null").withColumns(columns).select("*", *(F.col(c).alias(f"next_{c}") for c in names))
     return rows.unionByName(alone)
 
 
@@ -118,6 +119,5 @@ def edited(text: Column, following_text: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text, anchors, edited text, its anchors and the anchors of the next document."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("anchors", anchors(F.col("text")))
-    rows = with_next(docs, ["text", "anchors"]).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = with_next(docs, {"anchors": anchors(F.col("text"))}).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     return rows.select("doc_id", "text", "anchors", "edited", anchors(F.col("edited")).alias("edited_anchors"), "next_anchors")
