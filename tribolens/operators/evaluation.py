@@ -251,14 +251,13 @@ def utility_gate(scored: DataFrame, metrics: DataFrame, prevalence: Column) -> D
 def training_problem(row: dict) -> str | None:
     """Why a label coverage row does not allow training, or None when it does."""
     if row["labelled_rows"] < 60:
-        return "At least 60 labelled samples are required for chronological calibration and testing."
+        return "fewer than 60 labelled samples: too few for blocks in time order"
     if row["label_classes"] < 2:
-        return "Training data must contain both positive and negative outcomes."
+        return "only one kind of outcome among the labels"
     if row["positives"] < 15 or row["negatives"] < 15 or row["labelled_assets"] < 5:
-        return ("Training requires at least 15 positive outcomes, 15 negative outcomes, "
-                "and five distinct assets before model fitting.")
+        return "fewer than 15 outcomes of a kind, or labels of fewer than five assets"
     if row["distinct_dates"] < 12:
-        return "At least 12 distinct sample dates are required for chronological validation."
+        return "fewer than 12 sample dates"
     return None
 
 

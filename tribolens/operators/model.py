@@ -161,8 +161,7 @@ def train_failure_model(training: DataFrame) -> tuple[TrainedModel, DataFrame]:
     split = ev.choose_split(rows, horizon).first()
     if split is None:
         raise NotTrainable(
-            "Leak-resistant chronological train, calibration, and test blocks must each contain at least eight rows "
-            "and both outcome classes after applying the prediction-horizon embargo.")
+            "no cut in time leaves eight rows and both outcomes to each of training, calibration and test")
     starts = [F.lit(split[k]).cast("timestamp_ntz") for k in ("calibration_start", "test_start")]
     blocks = ev.split_blocks(rows, horizon, *starts)
     train, calibration, test = (blocks.filter(F.col("block") == b).drop("block")
@@ -170,7 +169,7 @@ def train_failure_model(training: DataFrame) -> tuple[TrainedModel, DataFrame]:
     features = [r["feature"] for r in ev.usable_features(train).collect()]
     features = [n for n in ev.candidate_features(rows) if n in features]
     if not features:
-        raise NotTrainable("No varying predictor columns are available after data-quality filtering.")
+        raise NotTrainable("no predictor varies")
     ready = weighted(train)
     total_weight = ready.agg(F.sum("weight")).first()[0]
     steps = Pipeline(stages=preprocessing(train, features)).fit(ready)

@@ -114,8 +114,7 @@ def analyze(
                     scores = tele.latest_anomaly_scores(telemetry)
             else:
                 trained = None
-                error = ("The selected model did not show enough improvement over a constant prevalence baseline "
-                         "on the untouched chronological test set.")
+                error = "on the test block the model is not better than the event rate alone"
         if error:
             log.warning("prediction is off: %s", error)
             predictive, mode = False, gates.fallback_mode(ready.collect())
