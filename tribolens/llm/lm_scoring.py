@@ -23,9 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tribolens.llm.columns import small_side
 from tribolens.llm.words import Words, chunks, mix, split, word_hashes
-from tribolens.plans.storage import materialise
 
 WORDS, CLASSES = 768, 256
 SIZE = WORDS + CLASSES + 1
@@ -106,8 +104,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and difference (bits per token) of every document."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bad = F.max(F.when((F.coalesce("quality", F.lit(0)) > 0) & (F.coalesce("toxic", F.lit(0)) == 0), 0).otherwise(1))
-    good = small_side(materialise(labels.filter("doc_id is not null").groupBy("doc_id").agg(bad.alias("bad"))
-                                  .filter("bad = 0").select("doc_id", F.lit(True).alias("target"))))
+    # Target ids grow with the corpus, so they are joined by a shuffle at any size.
+    good = labels.filter("doc_id is not null").groupBy("doc_id").agg(bad.alias("bad")).filter("bad = 0").select(
+        "doc_id", F.lit(True).alias("target")).hint("merge")
     known = vocabulary(docs)
     rated = docs.join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     target, total = bigram_counts(rated, known)
