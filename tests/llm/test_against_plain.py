@@ -251,3 +251,46 @@ def test_sketch_never_underestimates(spark):
                                       2, sketch.repeated_bits), np.uint8)
     twice = sketch.seen_twice(bits, words.mix(np.arange(3000).astype(np.uint64)), 1 << 14, 3)
     assert twice[:500].all() and twice.mean() < 0.4
+
+
+def test_words_outside_the_prior_keep_their_counts(spark, monkeypatch):
+    """More words than cells, in several blocks: every count of the models is that of the word itself, not of its class."""
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 20_000)
+    rng = random.Random(3)
+    common = [f"w{i}" for i in range(900)]
+    texts = [" ".join(rng.sample(common, 100)) for _ in range(120)]
+    texts = [t + " " + ("zorbal mirtal" if i % 2 else "zorcal mirnal") for i, t in enumerate(texts)]
+    texts += ["zorbal mirtal", "zorcal mirnal"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 100, 2)], "doc_id long, quality int, toxic int")
+    known, tokens_ = lm_scoring.vocabulary(docs), [t.split() for t in texts]
+    cell = dict(zip((w for t in tokens_ for w in t), (int(n) for t in texts for n in lm_scoring.token_numbers(
+        words.split(pa.array([t]), True), known))))
+    size, model = Counter(cell.values()), {}
+    for name, ids in (("t", range(1, 100, 2)), ("b", range(len(texts)))):
+        model[name] = [Counter(x for i in ids for x in zip([None, *tokens_[i]], tokens_[i])),
+                       Counter(w for i in ids for w in tokens_[i]), Counter(cell[w] for i in ids for w in tokens_[i]),
+                       Counter(w for i in ids for w in [None, *tokens_[i]][:-1])]
+    total = sum(model["t"][1].values())
+
+    def loss(name, i):
+        by = total / sum(model[name][1].values())
+        pair, single, of_cell, before = ({k: v * by for k, v in c.items()} for c in model[name])
+        bits = 0
+        for a, b in zip([None, *tokens_[i]], tokens_[i]):
+            c = cell[b]
+            p = (of_cell.get(c, 0) + 1) / (total + lm_scoring.SIZE)
+            if c >= lm_scoring.WORDS:
+                p *= (single.get(b, 0) + 1) / (of_cell.get(c, 0) + size[c])
+            bits -= np.log2((pair.get((a, b), 0) + lm_scoring.MASS * p) / (before.get(a, 0) + lm_scoring.MASS))
+        return bits / len(tokens_[i])
+
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, labels).collect()}
+    for i in got:
+        assert abs(got[i]["target_loss"] - loss("t", i)) < 1e-6 and abs(got[i]["background_loss"] - loss("b", i)) < 1e-6
+    assert got[120]["difference"] < got[121]["difference"] - 1
