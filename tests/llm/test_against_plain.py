@@ -171,6 +171,27 @@ def test_packing_prefers_related_documents():
     assert pure >= 0.7 * len(sequences)
 
 
+def test_packing_takes_related_short_texts_until_the_window_is_full():
+    """More related items than any fixed number of neighbours, beside longer unrelated ones."""
+    rng = np.random.default_rng(2)
+    short = [packing.Item(i, np.append(rng.integers(0, 40, 9), 7).astype(np.uint32)) for i in range(150)]
+    long = [packing.Item(1000 + i, rng.integers(5000 + 100 * i, 5100 + 100 * i, 30).astype(np.uint32)) for i in range(60)]
+    seed = packing.Item(500, rng.integers(0, 40, 60).astype(np.uint32))
+    first = packing.pack([*short, *long, seed], 1500)[0][0]
+    assert first[0][0] is seed and sum(n for _, _, n in first) == 1500
+    assert [item.doc_id < 1000 for item, _, _ in first[:145]] == [True] * 145
+
+
+def test_packing_searches_all_terms_of_the_seed():
+    """An item that shares only a common term with the seed is found before an unrelated one."""
+    common = 3
+    seed = packing.Item(0, np.r_[np.arange(100, 200), common].astype(np.uint32))
+    others = [packing.Item(i, np.array([common, 1000 + i], np.uint32)) for i in range(1, 9)]
+    apart = [packing.Item(50 + i, np.arange(2000 + 20 * i, 2010 + 20 * i).astype(np.uint32)) for i in range(9)]
+    first = packing.pack([seed, *apart, *others], 117)[0][0]
+    assert sorted(item.doc_id for item, _, _ in first) == list(range(9))
+
+
 def test_cross_entropy_difference(spark, docs, rows):
     """Against counts in dictionaries over the same token numbers."""
     import pyarrow as pa

@@ -4,8 +4,8 @@ Documents are tokenized once into a written table, then dealt out by ranges of (
 neighbouring ids, puts copies and near copies side by side, and the id splits any number of equal keys. Within a partition,
 consecutive documents form shards of bounded size, each with a BM25 inverted index of its documents. Whole windows of a
 long document are sequences of their own; what remains of it is an item. The longest unused item of the shard is the seed:
-it is searched in the index, and unused items fill its window from the best match down; at last one is cut where the window
-ends, and its rest stays in the index. What a shard cannot fill goes on into the next; the end of a partition is cut into
+it is searched in the index by all its terms, and unused items fill its window from the best match down, however many it takes; the
+last is cut where the window ends, and its rest stays in the index. Items without a common term follow, longest first. What a shard cannot fill goes on into the next; the end of a partition is cut into
 sequences whose lengths are powers of two, which need no padding. So nothing is padded, whatever the input.
 
 Defined results: null text is empty and has only the end id. Rows with one id or a null id are packed each by itself; repeated
@@ -15,6 +15,7 @@ rows are packed repeatedly. An empty table gives no sequence. Other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,6 @@ from tribolens.llm.token_store import tokenised, unpacked
 
 WINDOW = 2048
 SHARD_DOCS, SHARD_TOKENS = 2000, 2_000_000
-QUERY_TERMS, NEIGHBOURS = 32, 64
 K1, B = 1.2, 0.75
 
 
@@ -50,32 +50,34 @@ class Index:
     """BM25 postings of a shard's items, by term."""
 
     def __init__(self, items: list[Item]):
-        self.n = len(items)
+        self.n = self.held = len(items)
         size = np.array([len(x) for x in items])
         owner = np.repeat(np.arange(self.n), size)
         terms = np.concatenate([x.ids[x.start:] for x in items]).astype(np.int64)
         pair, times = np.unique(terms * self.n + owner, return_counts=True)
-        self.term, self.item = pair // self.n, pair % self.n
-        head = np.flatnonzero(np.r_[True, self.term[1:] != self.term[:-1]])
-        df = np.diff(np.r_[head, len(pair)])
+        term, self.item = pair // self.n, pair % self.n
+        self.head = np.r_[np.flatnonzero(np.r_[True, term[1:] != term[:-1]]), len(pair)]
+        df = np.diff(self.head)
         idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
-        self.first, self.last = np.repeat(head, df), np.repeat(head + df, df)
         norm = K1 * (1 - B + B * size / size.mean())
         self.weight = np.repeat(idf, df) * times * (K1 + 1) / (times + norm[self.item])
         order = np.argsort(self.item, kind="stable")
-        self.of_item = np.split(order, np.cumsum(np.bincount(self.item, minlength=self.n))[:-1])
+        number = np.repeat(np.arange(len(df)), df)[order]
+        self.of_item = np.split(number, np.cumsum(np.bincount(self.item, minlength=self.n))[:-1])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused items that share a heavy term with the seed, best first."""
+        """All unused items that share a term with the seed, best first."""
+        if 2 * unused.sum() < self.held:
+            self.held = int(unused.sum())
+            keep = unused[self.item]
+            self.head = np.r_[0, np.cumsum(keep)][self.head]
+            self.item, self.weight = self.item[keep], self.weight[keep]
         own = self.of_item[seed]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-self.weight[own], QUERY_TERMS)[:QUERY_TERMS]]
-        place = np.concatenate([np.arange(a, b) for a, b in zip(self.first[own].tolist(), self.last[own].tolist())])
-        score = np.bincount(self.item[place], self.weight[place], self.n) * unused
+        parts = [slice(a, b) for a, b in zip(self.head[own].tolist(), self.head[own + 1].tolist())]
+        score = np.bincount(np.concatenate([self.item[x] for x in parts]), np.concatenate([self.weight[x] for x in parts]),
+                            self.n) * unused
         found = np.flatnonzero(score)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack(items: list[Item], window: int) -> tuple[list[list[tuple[Item, int, int]]], list[Item]]:
@@ -99,17 +101,10 @@ def pack(items: list[Item], window: int) -> tuple[list[list[tuple[Item, int, int
         unused[seed] = False
         pieces, room = [items[seed].take(len(items[seed]))], window
         room -= pieces[0][2]
-        rest = []
-        for i in index.neighbours(seed, unused).tolist():
-            if len(items[i]) <= room:
-                pieces.append(items[i].take(len(items[i])))
-                room -= pieces[-1][2]
-                unused[i] = False
-            else:
-                rest.append(i)
-        spare = iter([*rest, *(i for i in order[at:] if unused[i] and i not in rest)]) if room else iter(())
-        while room:
-            i = next(spare)
+        best = index.neighbours(seed, unused).tolist() if room else []
+        for i in chain(best, (i for i in order[at:] if unused[i])):
+            if not room:
+                break
             pieces.append(items[i].take(min(room, len(items[i]))))
             room -= pieces[-1][2]
             unused[i] = len(items[i]) > 0
