@@ -6,7 +6,8 @@ benchmark   documents that hold a benchmark passage go (operator 8)
 secrets     credentials, linked parts included, are replaced by a mark; no document goes (operator 5)
 packing     what is left is tokenized and packed into sequences of 2048 ids (operator 10)
 
-All stages but the last return the columns of their input, whatever their names. Documents with a null id are never duplicates.
+All stages but the last return the columns of their input, whatever their names. Where an id is null or repeated, the duplicates
+stage groups rows instead of ids: of each group one row stays, a null id only if the group has no other.
 SQL cannot express the fitted classifier, so there is no reference SQL; the tests compare with plain Python.
 """
 
@@ -40,11 +41,25 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ids = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1")
+    if not ids.isEmpty():
+        return distinct_rows(docs)
     groups = ngram_jaccard.similar_groups(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
     copies = small_side(materialise(groups.filter("component_id < doc_id").select("doc_id").distinct()))
     return docs.join(copies, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """Documents whose ids do not name one row: grouped by a written row number, the least id of a group stays, null ids last."""
+    plain, names = shielded(docs)
+    plain = materialise(plain.withColumn("row", F.monotonically_increasing_id()))
+    groups = ngram_jaccard.similar_groups(plain.select(F.col("row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    groups = materialise(groups.select(F.col("doc_id").alias("row"), "component_id").join(plain.select("row", "doc_id"), "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    kept = groups.groupBy("component_id").agg(first.alias("f")).select(F.col("f.row").alias("row"))
+    return restored(plain.join(kept, "row", "left_semi").drop("row"), names, docs)
+
+
 def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, names = shielded(docs)
     found = winnowing.contamination(docs.select("doc_id", "text"), registry.table(spark, sf_dir, "benchmark"))

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as pipeline  # noqa: E402
@@ -77,3 +78,14 @@ def test_all_tokens_are_packed(stages):
 def test_other_columns_may_have_any_name(spark, docs):
     for _, stage in pipeline.STAGES[:4]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_one_row_stays_where_ids_repeat(spark):
+    """An id with a copy and a text of its own, repeated rows, and copies with a null id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, c), (None, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("x")).repartition(3)
+    found = pipeline.distinct_documents(spark, docs, SF)
+    assert found.columns == docs.columns
+    got = sorted((str(r["doc_id"]), r["text"]) for r in found.collect())
+    assert got == sorted([("1", a), ("2", b), ("3", c), ("None", d), ("None", ""), ("4", "")])
