@@ -78,3 +78,55 @@ def base_spans(text):
     spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
     return sorted(spans)
+
+
+def byte_letters():
+    """Byte of each character that stands for one in a byte-level vocabulary."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{chr(b): b for b in shown}, **{chr(256 + n): b for n, b in enumerate(hidden)}}
+
+
+def alignments(rows, a_path, b_path):
+    """doc_id -> (n_a, n_b, n_groups, n_links, n_best, count_sum, groups), by looking at every pair of tokens nearby."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_model, b_model, letters = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path), byte_letters()
+    a_model.encode_special_tokens = True
+    links, base, counts = {}, {}, {}
+    for i, text in rows:
+        raw = (" " + (text or "")).encode()
+        a_ids = a_model.encode(" " + text, add_special_tokens=False).ids if text else []
+        b_ids = b_model.encode(text) if text else []
+        a = [bytes(letters[c] for c in a_model.id_to_token(x)) for x in a_ids]
+        names = [b_model.id_to_piece(x) for x in b_ids]
+        b = [bytes([int(p[3:5], 16)]) if b_model.is_byte(x) else p.replace("▁", " ").encode() for x, p in zip(b_ids, names)]
+        if not text or b"".join(a) != raw or b"".join(b) != raw:
+            a_ids, b_ids, a, b = [], [], [], []
+        spans = []
+        for parts in (a, b):
+            place, own = 0, []
+            for part in parts:
+                own.append((place, place + len(part)))
+                place += len(part)
+            spans.append(own)
+        found, j = [], 0
+        for x, (s, e) in enumerate(spans[0]):
+            while spans[1][j][1] <= s:
+                j += 1
+            found += [(a_ids[x], b_ids[y]) for y in range(j, len(b)) if spans[1][y][0] < e]
+        both = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        names, start = [], 0
+        for end in both:
+            names.append("|".join(",".join(str(n) for n, (s, e) in zip(ids, own) if start <= s and e <= end)
+                                  for ids, own in zip((a_ids, b_ids), spans)))
+            start = end
+        links[i], base[i] = found, (len(a_ids), len(b_ids), len(both), ";".join(names))
+        for pair in set(found):
+            counts[pair] = counts.get(pair, 0) + 1
+    best = {}
+    for (x, _), n in counts.items():
+        best[x] = max(best.get(x, 0), n)
+    return {i: (*base[i][:3], len(own), sum(counts[p] == best[p[0]] for p in own), sum(counts[p] for p in own), base[i][3])
+            for i, own in links.items()}

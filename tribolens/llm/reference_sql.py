@@ -57,3 +57,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coale
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+OP12 = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    {words("coalesce(text, '')", SPACED)} AS w FROM documents),
+fails AS (SELECT doc_id, part, [
+    len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+    doc_id > min(doc_id) OVER (PARTITION BY t)] AS f FROM docs),
+masks AS (SELECT part, f, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+          FROM fails LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+orders AS (SELECT [x] AS o FROM range(1, 6) r(x)
+           UNION ALL SELECT list_append(o, x) FROM orders, range(1, 6) r(x) WHERE len(o) < 5 AND NOT list_contains(o, x)),
+steps AS (SELECT o, s, o[s] AS own FROM orders, range(1, 6) r(s) WHERE len(o) = 5),
+states AS (SELECT part, o, s, own, n, good, toxic, f[own] AS failed, list_bool_or([f[x] FOR x IN o[:s - 1]]) AS gone,
+                  len([x FOR x IN f IF x]) AS failures FROM masks, steps),
+rows AS (SELECT part, o, s, own, sum(n) FILTER (NOT failed AND NOT coalesce(gone, false)) AS kept,
+         sum(n) FILTER (failed AND NOT coalesce(gone, false)) AS removed, sum(n) FILTER (failed AND gone) AS redundant,
+         sum(n) FILTER (failed AND failures = 1) AS unique_fails,
+         sum(good) FILTER (failed AND NOT coalesce(gone, false)) AS good_lost,
+         sum(toxic) FILTER (failed AND NOT coalesce(gone, false)) AS toxic_lost FROM states GROUP BY ALL)
+SELECT part, array_to_string([substr('ABCDE', x::INT, 1) FOR x IN o], '') AS filter_order, s::INTEGER AS step,
+       coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+       coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM rows
+"""

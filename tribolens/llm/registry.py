@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tribolens.llm import (
-    licenses, lm_scoring, ngram_jaccard, packing, quality, reference_sql, secrets, substring_dedup, syncmers, token_store,
-    winnowing,
+    alignment, filter_audit, licenses, lm_scoring, ngram_jaccard, packing, pieces, quality, reference_sql, secrets, substring_dedup,
+    syncmers, token_store, winnowing,
 )
 
 
-def tokenizer() -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def tokenizer() -> str:
+    return vocabulary("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,8 +91,23 @@ def packing_digest(pieces: DataFrame) -> DataFrame:
                          F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                     vocabulary("piece_bpe_32k.model"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_decoded=True)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard, op2_token_store, op3_quality, op4_license_scan, op5_secret_links, op6_syncmers,
-    op7_substring_dedup, op8_winnowing, op9_lm_scoring, op10_packing)}
+    op7_substring_dedup, op8_winnowing, op9_lm_scoring, op10_packing, op11_alignment, op12_filter_audit, op13_sentencepiece)}
 ORACLES = {"op1_ngram_jaccard": reference_sql.OP1, "op7_substring_dedup": reference_sql.OP7,
-           "op8_winnowing": reference_sql.OP8}
+           "op8_winnowing": reference_sql.OP8, "op12_filter_audit": reference_sql.OP12}
