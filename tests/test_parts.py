@@ -202,19 +202,6 @@ def test_trees_get_their_share_at_every_size(spark):
         assert len(sizes) == anomaly.TREES and abs(sum(sizes) / len(sizes) - anomaly.SUBSAMPLE) < 12
 
 
-def test_sliding_medians_of_crowded_and_single_groups():
-    rng = np.random.default_rng(3)
-    group = np.sort(rng.integers(0, 6, 4000))
-    at = np.sort(rng.integers(0, 60 * point_in_time.DAY, 4000)) % (60 * point_in_time.DAY)
-    order = np.lexsort((at, group))
-    group, at = group[order], at[order]
-    values, sample = rng.random(4000), rng.random(4000) < 0.3
-    got = point_in_time._sliding_medians(group, at, values, sample)
-    for place, median in list(zip(np.flatnonzero(sample), got))[::37]:
-        frame = (group == group[place]) & (at >= at[place] - 30 * point_in_time.DAY) & (np.arange(4000) <= place) & ~sample
-        assert np.isnan(median) if not frame.any() else abs(median - np.median(values[frame])) < 1e-12
-
-
 def test_csv_without_a_key_column(spark, tmp_path):
     spark.createDataFrame([("a", "1"), ("a", "1"), ("b", None)], "x string, y string").coalesce(1).write.option(
         "header", True).csv(str(tmp_path / "t.csv"))

@@ -3,11 +3,14 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pytest
 from helpers import frame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tribolens.operators import evaluation as ev, point_in_time as pit, samples as sm, telemetry as tele, trends
+from tribolens.operators import evaluation as ev, point_in_time as pit, samples as sm, telemetry as tele, trailing_windows as tw
+from tribolens.operators import trends
 from tribolens.plans import scans
 
 
@@ -69,7 +72,9 @@ def test_cut_telemetry_gives_the_same_deltas(spark):
         assert tele.with_deltas(latest, size).orderBy("reading_key").collect() == whole
 
 
-def test_trailing_windows_against_brute_force(spark):
+@pytest.mark.parametrize("rows_per_task", [1_000_000, 150, 20])
+def test_trailing_windows_against_brute_force(spark, rows_per_task):
+    """Uncut assets, one cut asset, and all assets cut into many segments and buckets."""
     telemetry = tele.prepare_telemetry(hot_telemetry(spark), "source_row").cache()
     rnd = random.Random(3)
     start = dt.datetime(2024, 1, 1)
@@ -78,7 +83,7 @@ def test_trailing_windows_against_brute_force(spark):
         spark, SampleNum=[f"S{i}" for i in range(60)], EquipNum=["HOT" if i % 2 else f"EQ-{i % 6}" for i in range(60)],
         DateSampled=moments), "SampleNum")
     readings = [r for r in telemetry.collect() if r.asset_id is not None and r.event_time is not None]
-    for out in rows.join(pit.telemetry_features(rows, telemetry), "source_row").collect():
+    for out in rows.join(pit.telemetry_features(rows, telemetry, rows_per_task), "source_row").collect():
         past = [r for r in readings if r.asset_id == out.asset_id and r.event_time <= out.sample_date]
         assert out.telemetry_available == float(bool(past))
         if past:
@@ -141,3 +146,38 @@ def test_split_choice_against_all_pairs(spark):
 def test_top_rank_filters_are_limited_before_the_shuffle(spark):
     plan = tele.latest_readings(tele.read_telemetry(hot_telemetry(spark), "source_row"))._jdf.queryExecution()
     assert plan.executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
+def test_one_asset_and_day_is_cut_into_many_tasks(spark):
+    """A day of one asset: no task gets more than about twice its share, and repeated moments are asked once."""
+    day, n = 1_700_000_000_000_000, 6000
+    rnd = np.random.default_rng(4)
+    seconds = rnd.permutation(80_000)[:n]
+    readings = spark.createDataFrame(
+        [("HOT", day + int(s) * 1_000_000, float(s % 13), 1.0, float(rnd.integers(40))) for s in seconds],
+        "asset_id string, at long, hours double, distance double, utilization double").cache()
+    points = spark.createDataFrame([(i, "HOT", day + (i % 50) * 1_700_000_000) for i in range(400)],
+                                   "source_row long, asset_id string, at long")
+    got = tw.trailing_windows(points, readings, 500).collect()
+    rows = sorted((r.at, r.hours, r.utilization) for r in readings.collect())
+    assert len(got) == 400
+    for r in got:
+        past = [x for x in rows if x[0] <= day + (r.source_row % 50) * 1_700_000_000]
+        assert r.distance_30d == (len(past) or None) and r.operating_hours_7d == (sum(x[1] for x in past) if past else None)
+        assert r.latest_reading == (past[-1][0] if past else None)
+        assert r.mean_utilization_30d == (np.median([x[2] for x in past]) if past else None)
+    cut = readings.repartitionByRange(tw.segments_needed(readings, 500), "asset_id", "at")
+    sizes = [r[0] for r in cut.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 12 and max(sizes) <= 1000
+
+
+def test_sum_tree_and_rank_counts():
+    rnd = np.random.default_rng(2)
+    for n in (0, 1, 2, 7, 64, 501):
+        values = np.where(rnd.random(n) < 0.2, np.nan, rnd.integers(0, 9, n) / 4)
+        begin = rnd.integers(0, n + 1, 200)
+        end = np.maximum(begin, rnd.integers(0, n + 1, 200))
+        sums, middle = tw.SumTree(values).sums(begin, end), tw.medians(values, begin, end)
+        for a, b, s, m in zip(begin, end, sums, middle):
+            known = values[a:b][~np.isnan(values[a:b])]
+            assert (np.isnan(s) and np.isnan(m)) if not len(known) else (s == known.sum() and m == np.median(known))

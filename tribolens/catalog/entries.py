@@ -492,7 +492,7 @@ def _(spark, sf):
 SELECT source_row, telemetry_available, telemetry_age_days FROM pit_telemetry""", rounded=["telemetry_age_days"])
 def _(spark, sf):
     rows = pit_samples(spark, sf)
-    sums = pit.trailing_sums(rows, telemetry(spark, sf))
+    sums = pit.trailing(rows, materialise(telemetry(spark, sf)))
     at = c.micros(F.col("sample_date"))
     return pit.scoreable(rows).join(sums, "source_row").select(
         "source_row", F.col("latest_reading").isNotNull().cast("double").alias("telemetry_available"),

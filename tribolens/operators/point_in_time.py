@@ -1,30 +1,26 @@
 """Point-in-time features and forward labels.
 
-All joins between samples and events are ordered scans over (asset, day) segments. No pair of a sample and an
-event is ever materialised, and an asset with very many rows is spread over its days.
+All joins between samples and events are ordered scans over segments of an asset (work orders by day, telemetry by number of
+rows, see `trailing_windows`). No pair of a sample and an event is ever materialised.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pandas.api.indexers import BaseIndexer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tribolens.functions import cleaning as c
 from tribolens.functions import fixed_values as fv
+from tribolens.operators import trailing_windows
 from tribolens.operators.samples import measurement_presence, text_features
 from tribolens.operators.trends import add_trends
 from tribolens.operators.work_orders import confirmed_corrective, explicit_only
 from tribolens.plans import scans
 
 DAY = c.MICROS_PER_DAY
-WINDOW_DAYS = [7, 30, 90]
-MEDIAN_DAYS = 30
+WINDOW_DAYS = list(trailing_windows.SUM_DAYS)
 
 
 def scoreable(samples: DataFrame) -> DataFrame:
@@ -50,147 +46,14 @@ def _readings(telemetry: DataFrame) -> DataFrame:
         F.col("utilization_rate").alias("utilization"))
 
 
-def trailing_sums(samples: DataFrame, telemetry: DataFrame) -> DataFrame:
-    """Latest reading at or before each sample, and trailing sums over 7, 30 and 90 days, both ends included.
-
-    A window of n days is the end of its first day, n - 1 whole days, and the start of its last day. Whole days
-    come from daily totals; the two partial days from running sums inside one (asset, day).
-    """
-    points, readings = _sample_points(samples), _readings(telemetry)
-    edges = F.array(F.struct(F.lit(0).alias("days"), F.col("at").alias("at")),
-                    *[F.struct(F.lit(n).alias("days"), (F.col("at") - n * DAY).alias("at")) for n in WINDOW_DAYS])
-    probes = points.select("source_row", "asset_id", F.explode(edges).alias("_e")).select(
-        "source_row", "asset_id", "_e.days", "_e.at")
-    rows = probes.unionByName(
-        readings.select("asset_id", "at", "hours", "distance", F.col("at").alias("seen")), allowMissingColumns=True,
-    ).withColumn("day", day_of(F.col("at")))
-    in_day = Window.partitionBy("asset_id", "day").orderBy("at")
-    to_here = in_day.rangeBetween(Window.unboundedPreceding, 0)
-    # The rest of the day as a running frame over the reversed order: a frame that ends at the end of the day would be
-    # summed anew for every row.
-    reversed_day = Window.partitionBy("asset_id", "day").orderBy(F.col("at").desc())
-    from_here = reversed_day.rangeBetween(Window.unboundedPreceding, 0)
-    last = F.col("days") == 0
-    partial = rows.select(
-        "source_row", "asset_id", "day", "days",
-        F.when(last, F.sum("hours").over(to_here)).otherwise(F.sum("hours").over(from_here)).alias("hours"),
-        F.when(last, F.sum("distance").over(to_here)).otherwise(F.sum("distance").over(from_here)).alias("distance"),
-        F.when(last, F.max("seen").over(to_here)).alias("seen"),
-    ).filter(F.col("source_row").isNotNull())
-
-    daily = (
-        readings.select("asset_id", day_of(F.col("at")).alias("day"), "hours", "distance", F.col("at").alias("seen"))
-        .unionByName(points.select("asset_id", day_of(F.col("at")).alias("day")), allowMissingColumns=True)
-        .groupBy("asset_id", "day")
-        .agg(F.sum("hours").alias("hours"), F.sum("distance").alias("distance"), F.max("seen").alias("seen"))
-    )
-    by_day = Window.partitionBy("asset_id").orderBy("day")
-    whole = daily.select(
-        "asset_id", "day",
-        *[F.sum("hours").over(by_day.rangeBetween(1 - n, -1)).alias(f"hours_{n}") for n in WINDOW_DAYS],
-        F.sum("distance").over(by_day.rangeBetween(1 - MEDIAN_DAYS, -1)).alias(f"distance_{MEDIAN_DAYS}"),
-        F.max("seen").over(by_day.rangeBetween(Window.unboundedPreceding, -1)).alias("seen_before"),
-    )
-
-    def at_edge(days: int, name: str) -> Column:
-        return F.max(F.when(F.col("days") == days, F.col(name)))
-
-    own = partial.groupBy("source_row", "asset_id").agg(
-        F.max(F.when(last, F.col("day"))).alias("day"), F.max("seen").alias("seen"),
-        at_edge(0, "hours").alias("hours_end"), at_edge(0, "distance").alias("distance_end"),
-        *[at_edge(n, "hours").alias(f"hours_from_{n}") for n in WINDOW_DAYS],
-        at_edge(MEDIAN_DAYS, "distance").alias("distance_from"),
-    )
-    return own.join(whole, ["asset_id", "day"], "left").select(
-        "source_row", F.greatest("seen", "seen_before").alias("latest_reading"),
-        *[c.null_skipping_sum(F.col(f"hours_from_{n}"), F.col(f"hours_{n}"), F.col("hours_end"))
-          .alias(f"operating_hours_{n}d") for n in WINDOW_DAYS],
-        c.null_skipping_sum(F.col("distance_from"), F.col(f"distance_{MEDIAN_DAYS}"), F.col("distance_end"))
-        .alias("distance_30d"),
-    )
-
-
-class _Frames(BaseIndexer):
-    """Frames `start:end` of every row, both never falling."""
-
-    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
-        return self.start, self.end
-
-
-def _sliding_medians(group: np.ndarray, at: np.ndarray, values: np.ndarray, is_sample: np.ndarray) -> np.ndarray:
-    """Median of the readings in the 30 days up to each sample of its group; rows are in order of group and time.
-
-    One ordered window slides over all groups, so the cost follows the rows, however many samples meet in a group.
-    """
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    begin = np.repeat(starts, np.diff(np.r_[starts, len(at)]))
-    # A group spans two periods at most; its own stretch of the axis keeps frames inside it.
-    axis = at - at[begin] + np.cumsum(np.r_[False, group[1:] != group[:-1]]) * (4 * MEDIAN_DAYS * DAY)
-    first = np.maximum(np.searchsorted(axis, axis - MEDIAN_DAYS * DAY, side="left"), begin)
-    frames = _Frames(start=first.astype(np.int64), end=np.arange(1, len(at) + 1, dtype=np.int64))
-    known = pd.Series(np.where(is_sample, np.nan, values))
-    return known.rolling(frames, min_periods=1).median().to_numpy()[is_sample]
-
-
-def _trailing_medians(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Medians per (asset, period) over sorted batches; only the unfinished last group is carried on."""
-    def finished(rows: pd.DataFrame) -> pd.DataFrame:
-        asset, period = rows["asset_id"].to_numpy(), rows["period"].to_numpy()
-        at, values, is_sample = (rows[k].to_numpy() for k in ("at", "utilization", "is_sample"))
-        group = np.cumsum(np.r_[False, (asset[1:] != asset[:-1]) | (period[1:] != period[:-1])])
-        return pd.DataFrame({"source_row": rows["source_row"].to_numpy()[is_sample],
-                             "mean_utilization_30d": _sliding_medians(group, at, values, is_sample)})
-
-    waiting: list[pd.DataFrame] = []
-    for batch in batches:
-        if batch.empty:
-            continue
-        last = batch.iloc[-1]
-        open_group = ((batch["asset_id"] == last["asset_id"]) & (batch["period"] == last["period"])).to_numpy()
-        begin = int(np.argmax(open_group))
-        if waiting:
-            head = waiting[-1].iloc[-1]
-            if begin == 0 and head["asset_id"] == last["asset_id"] and head["period"] == last["period"]:
-                waiting.append(batch)
-                continue
-        yield finished(pd.concat([*waiting, batch.iloc[:begin]])) if waiting or begin else _NO_MEDIANS
-        waiting = [batch.iloc[begin:]]
-    if waiting:
-        yield finished(pd.concat(waiting))
-
-
-_NO_MEDIANS = pd.DataFrame({"source_row": pd.Series(dtype=object), "mean_utilization_30d": pd.Series(dtype=float)})
-
-
-def trailing_median(samples: DataFrame, telemetry: DataFrame) -> DataFrame:
-    """Median utilisation over the trailing 30 days.
-
-    A sliding `percentile` re-sorts its frame for every row, so the window slides in an Arrow helper instead.
-    Readings go to their own 30-day period and the next one; a group is thus at most 60 days of one asset, and
-    readings are unique per (asset, time). Groups arrive sorted and are worked off one after the other.
-    """
-    period = F.floor(F.col("at") / F.lit(MEDIAN_DAYS * DAY)).cast("long")
-    points = _sample_points(samples).withColumn("period", period)
-    wanted = points.select("asset_id", "period").distinct()
-    readings = (
-        _readings(telemetry).filter(F.col("utilization").isNotNull())
-        .select("asset_id", "at", "utilization", F.explode(F.array(period, period + 1)).alias("period"))
-        .join(wanted, ["asset_id", "period"], "left_semi")
-    )
-    rows = points.unionByName(readings, allowMissingColumns=True).withColumn(
-        "is_sample", F.col("source_row").isNotNull())
-    key_type = samples.schema["source_row"].dataType.simpleString()
-    found = (
-        rows.repartition("asset_id", "period").sortWithinPartitions("asset_id", "period", "at", "is_sample")
-        .mapInPandas(_trailing_medians, f"source_row {key_type}, mean_utilization_30d double"))
-    return found.withColumn("mean_utilization_30d", F.nanvl("mean_utilization_30d", F.lit(None).cast("double")))
+def trailing(samples: DataFrame, telemetry: DataFrame, rows_per_task: int = scans.ROWS_PER_SEGMENT) -> DataFrame:
+    """Latest reading, trailing sums and trailing median per scoreable sample, keyed by `source_row`."""
+    return trailing_windows.trailing_windows(_sample_points(samples), _readings(telemetry), rows_per_task)
 
 
-def telemetry_features(samples: DataFrame, telemetry: DataFrame) -> DataFrame:
+def telemetry_features(samples: DataFrame, telemetry: DataFrame, rows_per_task: int = scans.ROWS_PER_SEGMENT) -> DataFrame:
     """Availability, age and trailing windows per scoreable sample, keyed by `source_row`."""
-    sums = trailing_sums(samples, telemetry)
-    joined = _sample_points(samples).join(sums, "source_row", "left").join(
-        trailing_median(samples, telemetry), "source_row", "left")
+    joined = _sample_points(samples).join(trailing(samples, telemetry, rows_per_task), "source_row", "left")
     return joined.select(
         "source_row",
         F.col("latest_reading").isNotNull().cast("double").alias("telemetry_available"),
