@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tribolens.operators import evaluation as ev, point_in_time as pit, samples as sm, telemetry as tele, trailing_windows as tw
 from tribolens.operators import trends
-from tribolens.plans import scans
+from tribolens.plans import scans, selection
 
 
 def hot_samples(spark, n=600):
@@ -127,7 +127,8 @@ def test_split_choice_against_all_pairs(spark):
         start = dt.datetime(2025, 1, 1)
         cells = [(start + dt.timedelta(days=rnd.randrange(days)), rnd.randrange(2)) for _ in range(150)]
         df = spark.createDataFrame(cells, "sample_date timestamp_ntz, corrective_wo_within_horizon int")
-        got = ev.choose_split(df, horizon).collect()
+        got = ev.choose_split(df, horizon, rows_per_segment=25).collect()
+        assert got == ev.choose_split(df, horizon).collect()
         dates = sorted({t for t, _ in cells})
         gap, n, options = dt.timedelta(days=horizon), len(dates), []
         for i in range(max(1, int(n * 0.50)), max(2, int(n * 0.72))):
@@ -181,3 +182,55 @@ def test_sum_tree_and_rank_counts():
         for a, b, s, m in zip(begin, end, sums, middle):
             known = values[a:b][~np.isnan(values[a:b])]
             assert (np.isnan(s) and np.isnan(m)) if not len(known) else (s == known.sum() and m == np.median(known))
+
+
+def test_crowded_scores_are_ranked_in_even_segments(spark):
+    """All scores lie within a thousandth: no segment above twice its share, metrics as from all pairs."""
+    rnd = np.random.default_rng(6)
+    cells = [(float(p), int(y)) for p, y in zip(0.5 + rnd.integers(0, 900, 2000) * 1e-6, rnd.integers(0, 2, 2000))]
+    scored = spark.createDataFrame(cells, "probability double, label int")
+    got = ev.binary_metrics(scored, 0.5, rows_per_segment=100).first()
+    assert got == ev.binary_metrics(scored, 0.5).first()
+    pos, neg = ([p for p, y in cells if y == want] for want in (1, 0))
+    pairs = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+    assert abs(got.roc_auc - pairs / len(pos) / len(neg)) < 1e-12
+    precision = {p: sum(x >= p for x in pos) / sum(x >= p for x, _ in cells) for p in set(pos)}
+    assert abs(got.average_precision - sum(precision[p] for p in pos) / len(pos)) < 1e-12
+    cut = scored.select("probability").distinct().repartitionByRange(8, "probability")
+    sizes = [r[0] for r in cut.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) <= 2 * sum(sizes) / 8
+
+
+def test_split_with_one_positive_date(spark):
+    start = dt.datetime(2025, 1, 1)
+    cells = [(start + dt.timedelta(hours=i), int(i in (70, 200, 350))) for i in range(400)]
+    df = spark.createDataFrame(cells, "sample_date timestamp_ntz, corrective_wo_within_horizon int")
+    assert ev.choose_split(df, 0, rows_per_segment=20).collect() == ev.choose_split(df, 0).collect() != []
+
+
+def test_median_gap_of_one_hot_asset(spark):
+    """All gaps are below a day and most belong to one asset."""
+    rnd = random.Random(7)
+    cells = [("HOT" if i % 4 else f"EQ-{i % 3}" if i % 8 else None, rnd.randrange(1, 86_400_000) / 3_600_000) for i in range(1500)]
+    df = spark.createDataFrame(cells, "asset_id string, gap_hours double")
+    got = {r[0]: r[1] for r in tele.gap_medians(df, rows_per_segment=50).collect()}
+    for asset in {a for a, _ in cells}:
+        assert abs(got[asset] - float(np.median([g for a, g in cells if a == asset]))) < 1e-9
+
+
+def test_exact_order_statistics(spark):
+    rnd = np.random.default_rng(11)
+    columns = {"even": rnd.random(3000), "ties": rnd.integers(0, 3, 3000).astype(float), "one": np.full(3000, 2.5),
+               "wide": 10.0 ** rnd.integers(-200, 200, 3000) * rnd.choice([-1, 1], 3000), "huge": rnd.choice([-1.7e308, 1.7e308, 3.0], 3000),
+               "close": np.nextafter(1.0, 2.0) ** rnd.integers(0, 4, 3000), "gaps": np.where(rnd.random(3000) < 0.4, np.nan, rnd.normal(size=3000))}
+    rows = [tuple(None if i % 50 == 7 else float(v[i]) for v in columns.values()) for i in range(3000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in columns)).cache()
+    for q in (0.0, 0.5, 0.95, 1.0):
+        got = selection.quantiles(df, dict.fromkeys(columns, q), bins=64)
+        for n, name in enumerate(columns):
+            known = sorted(r[n] for r in rows if r[n] is not None and not np.isnan(r[n]))
+            place = (len(known) - 1) * q
+            low, high = known[int(np.floor(place))], known[int(np.ceil(place))]
+            assert got[name] == (low if low == high else low + (high - low) * (place - np.floor(place)))
+    none = spark.createDataFrame([(None,), (float("nan"),)], "x double")
+    assert selection.quantiles(none, {"x": 0.5}) == {"x": None}

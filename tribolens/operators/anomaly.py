@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tribolens.functions import cleaning as c
 from tribolens.functions import fixed_values as fv
+from tribolens.plans import selection
 from tribolens.plans.storage import materialise
 
 # Forest settings.
@@ -74,16 +75,17 @@ def _tree_samples(readings: DataFrame, count: int) -> DataFrame:
 
 
 def score_telemetry(telemetry: DataFrame) -> DataFrame:
-    """Add `telemetry_anomaly_score` in [0, 1] and `telemetry_anomaly` (about the highest 5 %)."""
+    """Add `telemetry_anomaly_score` in [0, 1] and `telemetry_anomaly` (above the exact 95 % quantile)."""
     known = {n: c.finite_or(F.col(n), None) for n in fv.ANOMALY_FEATURES}
+    telemetry = materialise(telemetry)
     facts = telemetry.agg(
-        F.count("*").alias("rows"), *[F.count(v).alias("n_" + n) for n, v in known.items()],
-        *[F.percentile_approx(v, 0.5, 100_000).alias("med_" + n) for n, v in known.items()]).first().asDict()
+        F.count("*").alias("rows"), *[F.count(v).alias("n_" + n) for n, v in known.items()]).first().asDict()
     if facts["rows"] < MIN_ROWS or sum(facts["n_" + n] for n in known) == 0:
         return telemetry.withColumns({"telemetry_anomaly_score": F.lit(None).cast("double"),
                                       "telemetry_anomaly": F.lit(False)})
     missing = [n for n in known if facts["n_" + n] < facts["rows"]]
-    medians = {n: facts["med_" + n] if facts["med_" + n] is not None else 0.0 for n in known}
+    found = selection.quantiles(telemetry.select(*[v.alias(n) for n, v in known.items()]), dict.fromkeys(known, 0.5))
+    medians = {n: 0.0 if found[n] is None else found[n] for n in known}
     inputs = _features(telemetry, medians, missing)
     spark = telemetry.sparkSession
 
@@ -122,10 +124,10 @@ def score_telemetry(telemetry: DataFrame) -> DataFrame:
         return pd.Series(np.exp2(-total / len(trees.value) / scale))
 
     raw = materialise(telemetry.select("*", isolation(*inputs).alias("_raw")))
-    bounds = raw.agg(F.min("_raw").alias("low"), F.max("_raw").alias("high"),
-                     F.percentile_approx("_raw", 1 - CONTAMINATION, 100_000).alias("edge")).first()
+    bounds = raw.agg(F.min("_raw").alias("low"), F.max("_raw").alias("high")).first()
+    edge = selection.quantiles(raw.select("_raw"), {"_raw": 1 - CONTAMINATION})["_raw"]
     span = bounds["high"] - bounds["low"]
     return raw.select(
         *telemetry.columns,
         ((F.col("_raw") - bounds["low"]) / span if span > 0 else F.lit(0.0)).alias("telemetry_anomaly_score"),
-        (F.col("_raw") > bounds["edge"]).alias("telemetry_anomaly"))
+        (F.col("_raw") > edge).alias("telemetry_anomaly"))

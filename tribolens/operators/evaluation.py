@@ -8,12 +8,10 @@ from pyspark.sql import types as T
 
 from tribolens.functions import cleaning as c
 from tribolens.functions import fixed_values as fv
-from tribolens.operators.point_in_time import day_of
 from tribolens.plans import scans
 from tribolens.plans.storage import materialise
 
 MIN_BLOCK_ROWS = 8
-CELLS = 4096
 
 
 def date_counts(training: DataFrame) -> DataFrame:
@@ -24,19 +22,23 @@ def date_counts(training: DataFrame) -> DataFrame:
     ).withColumn("at", c.micros(F.col("sample_date")))
 
 
-def _with_lookup(rows: DataFrame, level: str, wanted: Column, name: str) -> DataFrame:
-    """Add the first position at which the non-decreasing column `level` reaches `wanted`."""
-    top = rows.agg(F.max(level)).first()[0] or 0
-    steps = rows.select(F.col(level).alias("_level"), F.lit(1).cast("long").alias("_step"))
-    asked = rows.withColumns({"_level": wanted.cast("long")})
-    cell = F.floor(F.least(F.col("_level"), F.lit(top)) * F.lit(CELLS) / F.lit(top + 1)).cast("long")
-    found = scans.running_totals(asked.unionByName(steps, allowMissingColumns=True), [], cell, "_level",
-                                 {name: ("sum", F.col("_step"))}, inclusive=False)
-    found = found.filter(F.col("_step").isNull()).drop("_level", "_step")
-    return materialise(found.withColumn(name, F.coalesce(name, F.lit(0))))
+def _with_lookup(rows: DataFrame, level: str, wanted: Column, name: str, rows_per_segment: int) -> DataFrame:
+    """Add the first position at which the non-decreasing column `level` reaches `wanted`.
 
-
-def choose_split(training: DataFrame, horizon_days: int) -> DataFrame:
+    Levels and wanted levels are merged in one order, each distinct value once; the places found join back on the value.
+    """
+    step, asked = F.lit(1).cast("long"), F.lit(True)
+    levels = rows.select(F.col(level).alias("_level"), step.alias("_step")).unionByName(
+        rows.select(wanted.cast("long").alias("_level"), asked.alias("_asked")), allowMissingColumns=True)
+    levels = levels.groupBy("_level").agg(F.sum("_step").alias("_step"), F.max("_asked").alias("_asked"))
+    found = scans.ranged_totals(levels, [], "_level", {name: ("sum", F.col("_step"))}, inclusive=False,
+                                rows_per_segment=rows_per_segment)
+    places = found.filter("_asked").select("_level", F.coalesce(name, F.lit(0)).alias(name))
+    return materialise(rows.withColumn("_wanted", wanted.cast("long")).join(
+        places, F.col("_wanted") == F.col("_level")).drop("_wanted", "_level"))
+
+
+def choose_split(training: DataFrame, horizon_days: int, rows_per_segment: int = scans.ROWS_PER_SEGMENT) -> DataFrame:
     """Middle valid (calibration start, test start) of a chronological split with a horizon embargo.
 
     The train block only grows with the calibration start i, the test block only shrinks with the test start j,
@@ -45,18 +47,18 @@ def choose_split(training: DataFrame, horizon_days: int) -> DataFrame:
     Each step is written once, because the next one reads it several times.
     """
     horizon = int(max(horizon_days, 0)) * c.MICROS_PER_DAY
-    day = day_of(F.col("at"))
     dates = materialise(date_counts(training))
-    upto = scans.running_totals(dates, [], day, "at", {
+    upto = scans.ranged_totals(dates, [], "at", {
         "n_upto": ("sum", F.col("n")), "pos_upto": ("sum", F.col("pos")), "neg_upto": ("sum", F.col("neg")),
-        "rank": ("sum", F.lit(1).cast("long"))})
+        "rank": ("sum", F.lit(1).cast("long"))}, rows_per_segment=rows_per_segment)
     total = dates.agg(F.count("*").alias("dates"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k)
                                                      for k in ("n", "pos", "neg")]).first().asDict()
 
     ended = dates.select((F.col("at") + horizon).alias("at"), *[F.col(k).alias("_" + k) for k in ("n", "pos", "neg")])
-    rows = scans.running_totals(
-        upto.unionByName(ended, allowMissingColumns=True), [], day, "at",
+    rows = scans.ranged_totals(
+        upto.unionByName(ended, allowMissingColumns=True), [], "at",
         {k + "_ended": ("sum", F.col("_" + k)) for k in ("n", "pos", "neg")}, inclusive=False,
+        rows_per_segment=rows_per_segment,
     ).filter(F.col("rank").isNotNull()).select(
         "sample_date", (F.col("rank") - 1).alias("position"),
         *[(F.col(k + "_upto") - F.col(k)).alias(k + "_before") for k in ("n", "pos", "neg")],
@@ -64,7 +66,7 @@ def choose_split(training: DataFrame, horizon_days: int) -> DataFrame:
     rows = materialise(rows)
     need = {"n": MIN_BLOCK_ROWS, "pos": 1, "neg": 1}
     for k, least in need.items():
-        rows = _with_lookup(rows, k + "_ended", F.col(k + "_before") + least, k + "_first")
+        rows = _with_lookup(rows, k + "_ended", F.col(k + "_before") + least, k + "_first", rows_per_segment)
 
     position = F.col("position")
     train_from, train_to = max(1, int(total["dates"] * 0.50)), max(2, int(total["dates"] * 0.72))
@@ -77,8 +79,8 @@ def choose_split(training: DataFrame, horizon_days: int) -> DataFrame:
     options = rows.filter(train_valid & (position >= train_from) & (position < train_to)).select(
         "position", "sample_date", first.alias("first"), (F.lit(last_test) - first + 1).alias("options")
     ).filter(F.col("options") > 0)
-    counted = scans.running_totals(options, [], F.floor(position / F.lit(CELLS)).cast("long"), "position",
-                                   {"options_upto": ("sum", F.col("options"))})
+    counted = scans.ranged_totals(options, [], "position", {"options_upto": ("sum", F.col("options"))},
+                                  rows_per_segment=rows_per_segment)
     target = F.lit((options.agg(F.sum("options")).first()[0] or 0) // 2)
     chosen = counted.filter((F.col("options_upto") > target) & (F.col("options_upto") - F.col("options") <= target))
     chosen = chosen.select(
@@ -146,13 +148,13 @@ def _per_score(scored: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum(label).cast("long").alias("pos"), F.sum(1 - label).cast("long").alias("neg"))
 
 
-def binary_metrics(scored: DataFrame, threshold: float | Column = 0.5) -> DataFrame:
+def binary_metrics(scored: DataFrame, threshold: float | Column = 0.5,
+                   rows_per_segment: int = scans.ROWS_PER_SEGMENT) -> DataFrame:
     """Average precision, threshold metrics, Brier score, confusion cells and rank AUC as one row."""
     limit = F.lit(threshold) if isinstance(threshold, float) else threshold
-    scores = _per_score(scored)
-    cell = F.floor(F.col("probability") * F.lit(CELLS)).cast("long")
-    ranked = scans.running_totals(scores, [], cell, "probability",
-                                  {"n_upto": ("sum", F.col("n")), "pos_upto": ("sum", F.col("pos"))})
+    scores = materialise(_per_score(scored))
+    ranked = scans.ranged_totals(scores, [], "probability", {"n_upto": ("sum", F.col("n")), "pos_upto": ("sum", F.col("pos"))},
+                                 rows_per_segment=rows_per_segment)
     size = scores.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     rows, positives = size.select("n").scalar(), size.select("pos").scalar()
     p, n, pos, neg = (F.col(k) for k in ("probability", "n", "pos", "neg"))

@@ -126,16 +126,18 @@ def quality_profile(raw: DataFrame, readings: DataFrame, issue: str | None = Non
                          F.lit(None).cast("string").alias("schema_issue"))
 
 
-def gap_medians(telemetry: DataFrame) -> DataFrame:
-    """Exact median reporting gap per asset from counts per distinct gap, never from one list per asset."""
+def gap_medians(telemetry: DataFrame, rows_per_segment: int = scans.ROWS_PER_SEGMENT) -> DataFrame:
+    """Exact median reporting gap per asset from counts per distinct gap, never from one list per asset.
+
+    Counts are ordered in segments of even size, so an asset whose gaps are all alike is spread too.
+    """
     counted = (
         telemetry.filter(F.col("gap_hours").isNotNull())
         .groupBy("asset_id", "gap_hours").agg(F.count("*").alias("n"))
         .withColumn("_pos", F.round(F.col("gap_hours") * 3600e6).cast("long"))
     )
-    ranked = scans.running_totals(counted, ["asset_id"], F.floor(F.col("_pos") / c.MICROS_PER_DAY), "_pos",
-                                  {"upto": ("sum", F.col("n"))})
-    sizes = counted.groupBy("asset_id").agg(F.sum("n").alias("total"))
+    ranked = scans.ranged_totals(counted, ["asset_id"], "_pos", {"upto": ("sum", F.col("n"))}, rows_per_segment=rows_per_segment)
+    sizes = ranked.groupBy("asset_id").agg(F.sum("n").alias("total"))
     # The two middle ranks; they coincide for an odd count.
     low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
     first = F.col("upto") - F.col("n")

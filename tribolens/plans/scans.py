@@ -1,9 +1,10 @@
 """Ordered computations that no single task has to do for a whole key.
 
-A plain `Window.partitionBy(key)` sends every row of a key to one task. Two shapes avoid that here:
+A plain `Window.partitionBy(key)` sends every row of a key to one task. Three shapes avoid that here:
 
 * `running_totals`: totals are first aggregated per (key, segment), the few segment rows are accumulated, and
   rows are only ordered inside their segment.
+* `ranged_totals`: the same where no column gives segments of even size; they are cut by number of rows.
 * `split_series`: rows of a key are cut at hash-chosen rows, so a key of n rows is cut about
   n / rows_per_segment times and a small key not at all. Neighbouring rows needed by `lag` and rolling frames
   are copied over the cuts.
@@ -64,6 +65,26 @@ def running_totals(
     )
 
 
+def ranged_totals(
+    rows: DataFrame,
+    keys: list[str],
+    order: str,
+    totals: dict[str, tuple[str, Column]],
+    inclusive: bool = True,
+    rows_per_segment: int = ROWS_PER_SEGMENT,
+) -> DataFrame:
+    """`running_totals` over segments of about `rows_per_segment` rows, whatever their values.
+
+    A distributed prefix scan: range partitions on (keys, order), totals per partition, and what earlier partitions add up to carried
+    into each. Rows with equal keys and order share a segment, so callers aggregate frequent values first. The segments are
+    written once, which fixes their numbers.
+    """
+    rows = materialise(rows)
+    segments = max(1, -(-rows.count() // rows_per_segment))
+    cut = materialise(rows.repartitionByRange(segments, *keys, order).withColumn("_range", F.spark_partition_id()))
+    return running_totals(cut, keys, F.col("_range"), order, totals, inclusive).drop("_range")
+
+
 def position(time: str, row_key: str) -> Column:
     """Sort struct of a row: undated rows last, then by time, then by the unique row key."""
     return F.struct(F.col(time).isNull().alias("undated"), F.col(time).alias("at"), F.col(row_key).alias("row"))
