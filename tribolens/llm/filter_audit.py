@@ -6,12 +6,12 @@ C  more than 3 % capital letters A-Z
 
 Copies (E) are found in radix tries over whole texts:
 
-* Texts are range-partitioned by a prefix. A prefix of four characters whose texts are too many for one task is replaced by prefixes four
+* Texts are range-partitioned by prefixes. A prefix of four characters whose texts are too many for one task is replaced by prefixes four
   times as long, and so on; every length is one count over all texts, combined before the shuffle. What is still too large when
-  the prefix is the whole text is one text, and its rows are dealt out by a salt.
+  the prefix is the whole text is one text, and its rows are shared by several tasks.
 * A task inserts its texts into a compressed trie (edges hold byte strings) whose terminals keep the least id, and reads from the
-  terminal of each row whether its id is larger. Conditions A to D are counted in the same pass.
-* Of a salted text only the least row of each task goes on, with the text, into a second trie.
+  terminal of each row whether its id is larger. This is done before the shuffle, where conditions A to D are counted too, so a group of
+  copies sends one text per task; then in each range; and for shared texts once more.
 
 Each document becomes a mask of its failed filters. Masks are counted per part, and the 600 steps of all orders are sums over at most
 32 mask counts of a part.
@@ -22,8 +22,10 @@ with one id and text are not copies of each other. Of several labels of one id t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from itertools import permutations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tribolens.llm.columns import small_side
 from tribolens.llm.words import chunks, split, text_bytes, word_hashes
+from tribolens.plans.scans import ranged_totals
 from tribolens.plans.storage import materialise
 
 FILTERS = "ABCDE"
@@ -101,73 +104,109 @@ def mask_of(texts: pa.Array) -> np.ndarray:
             + (100 * capitals > MOST_CAPITALS_PERCENT * points) * 4 + (signs > 0) * 8)
 
 
-def spread_by_prefix(docs: DataFrame, task_bytes: int) -> DataFrame:
-    """Rows with `salted`, range-partitioned by the shortest prefix whose texts fit one task."""
-    size = F.octet_length("text") + ROW_BYTES
-    rest, keyed, length = docs.select("text"), docs.withColumns({"key": F.lit(None).cast("string"), "salt": F.lit(None).cast("int")}), FIRST_PREFIX
-    total = None
+class Ranges(NamedTuple):
+    """First texts of all ranges but the first, and how many tasks share the rows of a text that is too large for one (few)."""
+
+    bounds: list[bytes]
+    shared: dict[bytes, int]
+
+    def of(self, text: bytes) -> int:
+        return bisect_right(self.bounds, text)
+
+
+def ranges(texts: DataFrame, task_bytes: int) -> Ranges:
+    """Text ranges of about `task_bytes`, bounded by prefixes that are as long as needed.
+
+    Prefixes whose texts fit one task are added up in text order and cut; the driver gets one bound a task. A text lies in the range of its
+    prefix, as no other prefix that was kept begins with it.
+    """
+    rest, length, leaves, shared = texts, FIRST_PREFIX, None, {}
     while True:
-        sizes = rest.groupBy(F.substring("text", 1, length).alias("prefix")).agg(
-            F.sum(size).alias("bytes"), F.max(F.length("text")).alias("longest"))
-        if total is None:
-            total = rest.agg(F.sum(size)).first()[0] or 0
-        whole = F.col("longest") <= length
-        heavy = materialise(sizes.filter(F.col("bytes") > task_bytes).select(
-            "prefix", F.when(whole, F.ceil(F.col("bytes") / task_bytes)).cast("int").alias("salts")))
-        prefix, open_row = F.substring("text", 1, length), F.col("key").isNull()
-        is_heavy = small_side(heavy)
-        keyed = keyed.join(is_heavy, open_row & (prefix == F.col("prefix")), "left").select(
-            *docs.columns,
-            F.when(~open_row, F.col("key")).when(F.col("prefix").isNull() | F.col("salts").isNotNull(), prefix).alias("key"),
-            F.coalesce("salt", F.pmod(F.xxhash64("doc_id"), "salts").cast("int")).alias("salt"))
-        longer = heavy.filter("salts is null")
+        sizes = materialise(rest.groupBy(F.substring("text", 1, length).alias("prefix")).agg(
+            F.sum(F.octet_length("text") + ROW_BYTES).alias("bytes"), F.max(F.length("text")).alias("longest")))
+        heavy, whole = F.col("bytes") > task_bytes, F.col("longest") <= length
+        for row in sizes.filter(heavy & whole).toLocalIterator():
+            shared[row["prefix"].encode()] = -(-row["bytes"] // task_bytes)
+        done = sizes.filter(~heavy | whole).select("prefix", F.least("bytes", F.lit(task_bytes)).alias("bytes"))
+        leaves = done if leaves is None else leaves.unionByName(done)
+        longer = sizes.filter(heavy & ~whole).select("prefix")
         if longer.isEmpty():
             break
-        rest = rest.join(small_side(materialise(longer)), prefix == F.col("prefix"), "left_semi")
+        rest = rest.join(small_side(longer), F.substring("text", 1, length) == F.col("prefix"), "left_semi")
         length *= LONGER
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
-    salted = F.col("salt").isNotNull()
-    return keyed.withColumn("salt", F.coalesce("salt", F.lit(0))).withColumn("salted", salted).repartitionByRange(
-        int(tasks), "key", "salt").select(*docs.columns, "salted")
-
-
-MASKS = "doc_id long, part string, mask int, text string"
-
-
-def through_trie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Flags copies among the rows of a task. Where `mask` is null it is counted; salted rows that are no copies keep their text."""
-    trie, ends, rows = TextTrie(), [], []
-    for batch in batches:
-        for part in chunks(batch):
-            texts, ids = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
-            ends += [None if i is None else trie.insert(t.encode(), i) for t, i in zip(texts, ids)]
-            salted = part.column("salted")
-            masks = part.column("mask")
-            if masks.null_count:
-                masks = pa.array(mask_of(part.column("text")).astype(np.int32))
-            rows.append(pa.RecordBatch.from_pydict({
-                "doc_id": part.column("doc_id"), "part": part.column("part"), "mask": masks,
-                "text": pa.array([t if s else None for t, s in zip(texts, salted.to_pylist())], pa.string())}))
-    at = 0
-    for part in rows:
-        copies = np.array([end is not None and i > end.least for end, i in zip(
-            ends[at : at + part.num_rows], part.column("doc_id").to_pylist())], bool)
-        at += part.num_rows
-        masks = part.column("mask").to_numpy() | (copies.astype(np.int32) << 4)
-        texts = [None if c else t for c, t in zip(copies, part.column("text").to_pylist())]
-        yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "part": part.column("part"),
-                                          "mask": pa.array(masks, pa.int32()), "text": pa.array(texts, pa.string())})
+    upto = ranged_totals(leaves, [], "prefix", {"upto": ("sum", F.col("bytes"))})
+    bounds = upto.groupBy(F.floor((F.col("upto") - 1) / task_bytes).alias("range")).agg(F.min("prefix").alias("first")).select("first").collect()
+    return Ranges(sorted(r["first"].encode() for r in bounds)[1:], shared)
+
+
+ROWS = "doc_id long, part string, mask int, text string, range int, open boolean"
+
+
+def through_trie(cut: Ranges, task_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Flags copies among the rows of a task and drops their texts; rows whose least id may be elsewhere keep the text (`open`).
+
+    Rows without a text pass. Masks that are null are counted. A trie of more than `task_bytes` is worked off and begun anew: the next step
+    brings the rest together.
+    """
+
+    def finished(rows: list[pa.RecordBatch], ends: list[Node | None]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for part in rows:
+            ids, own = part.column("doc_id").to_pylist(), ends[at : at + part.num_rows]
+            at += part.num_rows
+            copies = np.array([end is not None and i > end.least for end, i in zip(own, ids)], bool)
+            left = [None if c else t for c, t in zip(copies.tolist(), part.column("text").to_pylist())]
+            masks = part.column("mask").to_numpy() | (copies.astype(np.int32) << 4)
+            table = {name: part.column(name) for name in part.schema.names}
+            table |= {"mask": pa.array(masks, pa.int32()), "text": pa.array(left, pa.string())}
+            yield pa.RecordBatch.from_pydict(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, ends, rows, size = TextTrie(), [], [], 0
+        for batch in batches:
+            for part in chunks(batch):
+                texts, ids = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
+                raw = [None if t is None else t.encode() for t in texts]
+                ends += [None if i is None or t is None else trie.insert(t, i) for t, i in zip(raw, ids)]
+                first = part.column("mask").null_count > 0
+                table = {"doc_id": part.column("doc_id"), "part": part.column("part"), "mask": part.column("mask")}
+                if first:
+                    table["mask"] = pa.array(mask_of(part.column("text")).astype(np.int32))
+                    # A null id is compared with nothing.
+                    raw = [None if i is None else t for t, i in zip(raw, ids)]
+                    share = np.array([cut.shared.get(t, 1) if cut.shared and t is not None else 1 for t in raw])
+                    place = np.array([0 if t is None else cut.of(t) for t in raw])
+                    salt = np.array([hash(i) for i in ids]) % share
+                    table["text"] = pa.array([t if i is not None else None for t, i in zip(texts, ids)], pa.string())
+                    table["range"] = pa.array((place + salt) % (len(cut.bounds) + 1), pa.int32())
+                    table["open"] = pa.array(share > 1)
+                else:
+                    table["text"] = pa.array([t if o else None for t, o in zip(texts, part.column("open").to_pylist())], pa.string())
+                    table |= {"range": part.column("range"), "open": part.column("open")}
+                rows.append(pa.RecordBatch.from_pydict(table))
+                size += sum(len(t) for t in texts if t is not None) + ROW_BYTES * part.num_rows
+                if first and size > task_bytes:
+                    yield from finished(rows, ends)
+                    trie, ends, rows, size = TextTrie(), [], [], 0
+        yield from finished(rows, ends)
+
+    return run
 
 
 def failed_filters(docs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """doc_id, part (language) and mask of failed filters, bit 0 for A, of every document."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(None).cast("int").alias("mask"))
-    first = materialise(spread_by_prefix(rows, task_bytes).mapInArrow(through_trie, MASKS))
-    again = first.filter("text is not null").withColumn("salted", F.lit(False))
-    # Of a salted text, at most one row of each task is left.
-    second = again.repartition(F.xxhash64("text")).mapInArrow(through_trie, MASKS)
-    return first.filter("text is null").unionByName(second).select("doc_id", "part", "mask")
+    cut = ranges(rows.select("text"), task_bytes)
+    step = through_trie(cut, task_bytes)
+    combined = rows.mapInArrow(step, ROWS)
+    ranged = materialise(combined.repartitionById(len(cut.bounds) + 1, "range").mapInArrow(step, ROWS))
+    columns = ["doc_id", "part", "mask"]
+    if not cut.shared:
+        return ranged.select(*columns)
+    # Of a text that many tasks share, one row of each task is left.
+    last = ranged.filter("text is not null").withColumn("open", F.lit(False)).repartition(F.xxhash64("text")).mapInArrow(step, ROWS)
+    return ranged.filter("text is null").select(*columns).unionByName(last.select(*columns))
 
 
 def steps() -> list[tuple]:
