@@ -27,6 +27,8 @@ COLUMNS = {
     "op5_secret_links": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op6_syncmers": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op9_lm_scoring": "doc_id n_tokens target_loss background_loss difference",
+    "op11_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
 
