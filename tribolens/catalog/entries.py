@@ -14,7 +14,7 @@ from tribolens.catalog import views
 from tribolens.functions import cleaning as c
 from tribolens.functions import fixed_values as fv
 from tribolens.operators import (
-    anomaly, baseline, cases, enrich, evaluation as ev, gates, model, point_in_time as pit, report, samples as sm,
+    anomaly, baseline, cases, enrich, evaluation as ev, fit_checks, gates, model, point_in_time as pit, report, samples as sm,
     telemetry as tele, trends, triage, work_orders as wo,
 )
 from tribolens.plans import analysis, scans
@@ -426,6 +426,13 @@ def _(spark, sf):
         "reading_key", "asset_id", "event_time", "telemetry_anomaly_score", "telemetry_anomaly")
 
 
+@entry("telemetry_anomaly_checks", "latest_readings", """
+SELECT count(*) AS rows, count(DISTINCT reading_key) AS readings, 0.0::DOUBLE AS lowest, 1.0::DOUBLE AS highest,
+  true AS few_flagged, true AS edge_fits FROM latest_readings""")
+def _(spark, sf):
+    return fit_checks.anomaly_checks(anomaly.score_telemetry(telemetry(spark, sf)), anomaly.CONTAMINATION)
+
+
 @entry("telemetry_latest_scores", "telemetry", """
 SELECT asset_id, arg_max(odometer / 100, coalesce(event_time, TIMESTAMP '2999-01-01')) AS telemetry_anomaly_score
 FROM telemetry WHERE asset_id IS NOT NULL AND odometer % 3 > 0 GROUP BY 1""", rounded=["telemetry_anomaly_score"])
@@ -771,7 +778,71 @@ def _(spark, sf):
     return report.readiness_lines(gates.readiness(coverage(spark, sf)))
 
 
-@entry("quality_issues", "samples matched readings", f"""
+ref.cte("summary_mode", "coverage", """
+SELECT CASE WHEN numeric_samples >= 3 AND repeated_numeric_series >= 1 THEN 'Condition Monitoring' ELSE 'Alert Management' END AS mode
+FROM coverage""")
+
+
+@entry("run_summary", "summary_mode counters samples matched readings", """
+SELECT (SELECT mode FROM summary_mode) AS operating_mode, (SELECT count(*) FROM samples) AS sample_rows,
+  (SELECT count(DISTINCT asset_id) FROM samples) AS sample_assets, (SELECT count(*) FROM matched) AS matched_assets,
+  0::BIGINT AS prediction_rows, '' AS trained_model, (SELECT count(*) FROM readings) AS telemetry_rows,
+  (SELECT count(*) FROM (SELECT DISTINCT asset_id, event_time FROM readings)) AS telemetry_rows_kept,
+  (SELECT count(DISTINCT asset_id) FROM readings) AS telemetry_assets, lab_ar_samples, p1_immediate_records,
+  repeated_new_unlinked_rows FROM counters""")
+def _(spark, sf):
+    """The summary of a whole run without work orders, through its JSON sink."""
+    result = analysis.analyze(views.raw_samples(spark, sf), views.raw_telemetry(spark, sf), None, ref.HORIZON,
+                              sample_key="SampleNum", telemetry_key="reading_id")
+    summary, out = analysis.run_summary(result), new_table_path(spark)
+    write_json_row(summary, out)
+    back = spark.read.schema(summary.schema).json(out)
+    quality, counted = "telemetry_quality.", "dataset_metrics."
+    return back.select(
+        "operating_mode", "sample_rows", "sample_assets", "matched_assets", "prediction_rows",
+        F.coalesce("trained_model", F.lit("")).alias("trained_model"),
+        F.col(quality + "rows_before_deduplication").alias("telemetry_rows"),
+        F.col(quality + "rows_after_deduplication").alias("telemetry_rows_kept"), F.col(quality + "unique_assets").alias("telemetry_assets"),
+        *[F.col(counted + n).alias(n) for n in ("lab_ar_samples", "p1_immediate_records", "repeated_new_unlinked_rows")])
+
+
+ref.cte("mode_facts", "gates", f"""
+SELECT count(*) FILTER (WHERE status = 'PASS' AND gate IN ({ref.values(fv.PREDICTION_GATES)})) = 4 AS ready,
+  bool_or(gate = 'numeric_trends' AND status = 'PASS') AS trends FROM gates""")
+
+
+@entry("mode_with_model_gate", "mode_facts", """
+SELECT 'PASS' AS model_gate, CASE WHEN ready THEN 'Failure Prediction' WHEN trends THEN 'Condition Monitoring'
+  ELSE 'Alert Management' END AS mode, 0::BIGINT AS blocked_by_model FROM mode_facts
+UNION ALL SELECT 'BLOCKED', CASE WHEN trends THEN 'Condition Monitoring' ELSE 'Alert Management' END, 1 FROM mode_facts""")
+def _(spark, sf):
+    """Mode with a model that passes its gate, and the demotion where it does not."""
+    ready = materialise(gates.readiness(coverage(spark, sf)))
+    rows = []
+    for passed in (True, False):
+        table = gates.with_gate(ready, "heldout_model_utility", "Selected model beats a no-feature baseline on newer data", passed, "")
+        mode = gates.select_mode(table).first()["mode"] if passed else gates.fallback_mode(table.collect())
+        blocked = gates.blocked_criteria(table).filter("gate = 'heldout_model_utility'").count()
+        rows.append(("PASS" if passed else "BLOCKED", mode, blocked))
+    return spark.createDataFrame(rows, "model_gate string, mode string, blocked_by_model long")
+
+
+ISSUES = {  # Fixed values: impact and remedy of each issue.
+    "Invalid or time-only sample dates": (
+        "Date-dependent trends and response-time analysis exclude these rows.", "Supply a complete calendar date for DateSampled."),
+    "Missing asset identifiers": (
+        "S.O.S, telemetry and WO records cannot be joined reliably.", "Populate EquipNum or a stable equipment identifier."),
+    "Samples without structured numerical laboratory measurements": (
+        "Engineering text triage remains available, but numerical degradation trends are limited.",
+        "Include Fe, Cu, Si, Water, FuelDilution, Soot, Viscosity, Oxidation and TBN where available."),
+    "S.O.S rows without matched telemetry": (
+        "These records use the other available predictors; telemetry is optional.",
+        "If telemetry exists for these machines, align EquipNum and TMSAssetID or provide an approved mapping table."),
+    "Duplicate telemetry asset/timestamp rows": (
+        "Duplicates were resolved by retaining the most recently modified record.",
+        "Review source-system duplicate generation if the count grows."),
+}
+ref.cte("issue_rows", "samples matched readings", f"""
 SELECT severity, issue, count FROM (
   SELECT 'Blocker' AS severity, 'Invalid or time-only sample dates' AS issue, count(*) AS count FROM samples
     WHERE is_invalid_date
@@ -782,11 +853,28 @@ SELECT severity, issue, count FROM (
     WHERE asset_id IS NULL OR asset_id NOT IN (SELECT asset_id FROM matched)
   UNION ALL SELECT 'Information', 'Duplicate telemetry asset/timestamp rows', coalesce(sum(n), 0)::BIGINT
     FROM (SELECT count(*) AS n FROM readings GROUP BY asset_id, event_time) WHERE n > 1) WHERE count > 0""")
-def _(spark, sf):
+
+
+def quality_issues(spark: SparkSession, sf: str) -> DataFrame:
     rows, read = samples(spark, sf), readings(spark, sf)
     quality = triage.data_quality(rows)
     profile = tele.quality_profile(views.raw_telemetry(spark, sf), read)
-    return gates.quality_issues(rows, quality, profile, pit.matched_assets(rows, read)).select("severity", "issue", "count")
+    return gates.quality_issues(rows, quality, profile, pit.matched_assets(rows, read))
+
+
+@entry("quality_issues", "issue_rows", "SELECT * FROM issue_rows")
+def _(spark, sf):
+    return quality_issues(spark, sf).select("severity", "issue", "count")
+
+
+@entry("quality_issue_export", "issue_rows", f"""
+SELECT severity, issue, count, impact, fix FROM issue_rows JOIN (VALUES
+  {', '.join(f"({ref.q(issue)}, {ref.q(impact)}, {ref.q(fix)})" for issue, (impact, fix) in ISSUES.items())}) t(issue, impact, fix) USING (issue)""")
+def _(spark, sf):
+    """All columns of the issues, through the CSV export."""
+    out = new_table_path(spark) + "/issues.csv"
+    write_table(quality_issues(spark, sf), out, "csv")
+    return load_table(spark, out).select("severity", "issue", F.col("count").cast("long").alias("count"), "impact", "fix")
 
 
 # Model arithmetic -----------------------------------------------------------------------------------------------
@@ -990,6 +1078,86 @@ def _(spark, sf):
     return _fitted(spark, sf)[1]
 
 
+FIT_BLOCKS = f"""
+SELECT *, CASE WHEN sample_date >= test_start THEN 'test'
+  WHEN sample_date >= calibration_start AND sample_date + INTERVAL '{ref.HORIZON}' DAY < test_start THEN 'calibration'
+  WHEN sample_date + INTERVAL '{ref.HORIZON}' DAY < calibration_start THEN 'train' END AS block FROM labelled, split"""
+ref.cte("fit_blocks", "labelled split", FIT_BLOCKS)
+ref.cte("fit_sizes", "fit_blocks", f"""
+SELECT count(*) FILTER (block = 'train') AS train_rows, count(*) FILTER (block = 'calibration') AS calibration_rows,
+  count(*) FILTER (block = 'calibration' AND {fv.TARGET} = 1) AS calibration_positives,
+  count(*) FILTER (block = 'test') AS test_rows, count(*) FILTER (block = 'test' AND {fv.TARGET} = 1) AS test_positives,
+  avg({fv.TARGET}) FILTER (block IN ('train', 'calibration')) AS baseline_probability FROM fit_blocks""")
+
+
+@entry("model_leaderboard_counts", "fit_sizes", """
+SELECT model, train_rows, calibration_rows, calibration_positives AS positives, calibration_rows - calibration_positives AS negatives,
+  calibration_positives / calibration_rows AS positive_rate FROM fit_sizes, (VALUES ('logistic_regression'), ('random_forest')) m(model)""",
+       rounded=["positive_rate"])
+def _(spark, sf):
+    return _fitted(spark, sf)[1].select(
+        "model", "train_rows", "calibration_rows", (F.col("true_positive") + F.col("false_negative")).alias("positives"),
+        (F.col("true_negative") + F.col("false_positive")).alias("negatives"), F.col("test_positive_rate").alias("positive_rate"))
+
+
+@entry("model_test_counts", "fit_sizes", """
+SELECT test_rows, test_positives AS positives, test_rows - test_positives AS negatives, baseline_probability,
+  test_positives / test_rows AS baseline_average_precision,
+  (test_positives * (1 - baseline_probability) ** 2 + (test_rows - test_positives) * baseline_probability ** 2) / test_rows
+    AS baseline_brier_score, true AS gate_follows FROM fit_sizes""",
+       rounded=["baseline_probability", "baseline_average_precision", "baseline_brier_score"])
+def _(spark, sf):
+    m = _fitted(spark, sf)[0].metrics
+    passes = m["average_precision_lift"] >= 0.02 and m["brier_skill_score"] > 0 and m["recall_at_threshold"] > 0
+    follows = (passes == m["passes_utility_gate"]
+               and abs(m["average_precision"] - m["baseline_average_precision"] - m["average_precision_lift"]) < 1e-9)
+    return spark.createDataFrame([(
+        m["test_rows"], m["true_positive"] + m["false_negative"], m["true_negative"] + m["false_positive"], m["baseline_probability"],
+        m["baseline_average_precision"], m["baseline_brier_score"], follows)],
+        "test_rows long, positives long, negatives long, baseline_probability double, baseline_average_precision double, "
+        "baseline_brier_score double, gate_follows boolean")
+
+
+@entry("model_preprocessing_checks", "", "SELECT true AS moments_fit, true AS one_hot_fits, true AS weights_fit")
+def _(spark, sf):
+    trained = _fitted(spark, sf)[0]
+    return fit_checks.scaled_moments(trained).select(
+        "moments_fit", fit_checks.one_hot_sums(trained).scalar().alias("one_hot_fits"),
+        fit_checks.balanced_weights(trained).scalar().alias("weights_fit"))
+
+
+@entry("model_logistic_gradient", "", "SELECT true AS gradient_is_zero")
+def _(spark, sf):
+    return fit_checks.logistic_gradient(_fitted(spark, sf)[0])
+
+
+@entry("model_calibration_sums", "fit_sizes", """
+SELECT round(calibration_positives * (calibration_positives + 1) / (calibration_positives + 2)
+  + (calibration_rows - calibration_positives) / (calibration_rows - calibration_positives + 2), 3) AS probability_sum,
+  true AS slope_is_zero FROM fit_sizes""", rounded=["probability_sum"])
+def _(spark, sf):
+    return fit_checks.calibration_sums(_fitted(spark, sf)[0])
+
+
+@entry("model_importance_shares", "", "SELECT true AS shares_fit, true AS shares_descend")
+def _(spark, sf):
+    return fit_checks.importance_shares(_fitted(spark, sf)[0])
+
+
+def _scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return pit.build_scoring(*(materialise(f(spark, sf)) for f in (pit_samples, telemetry, orders)))
+
+
+@entry("model_scoring_checks", "pit_dated", "SELECT count(*) AS rows, count(DISTINCT source_row) AS samples, true AS in_range FROM pit_dated")
+def _(spark, sf):
+    return fit_checks.scoring_checks(_fitted(spark, sf)[0], _scoring(spark, sf))
+
+
+@entry("model_saved_and_loaded", "pit_dated", "SELECT count(*) AS rows, true AS same FROM pit_dated")
+def _(spark, sf):
+    return fit_checks.saved_model_agrees(_fitted(spark, sf)[0], materialise(_scoring(spark, sf)), new_table_path(spark))
+
+
 @entry("model_probabilities")
 def _(spark, sf):
     trained, _ = _fitted(spark, sf)
@@ -1043,6 +1211,22 @@ def _(spark, sf):
     return cards(spark, sf, True).select("source_row", "failure_probability_pct", "risk_badge", "predicted_risk_status")
 
 
+ref.cte("given_scores", "telemetry", """
+SELECT asset_id, arg_max(odometer / 100, coalesce(event_time, TIMESTAMP '2999-01-01')) AS telemetry_anomaly_score
+FROM telemetry WHERE asset_id IS NOT NULL AND odometer % 3 > 0 GROUP BY 1""")
+
+
+@entry("action_cards_with_anomaly_score", "cards given_scores", """
+SELECT source_row, asset_id, g.telemetry_anomaly_score FROM (SELECT source_row, asset_id FROM cards) c
+LEFT JOIN given_scores g USING (asset_id)""", rounded=["telemetry_anomaly_score"])
+def _(spark, sf):
+    """The latest score of the asset on its cards; scores are given ones, as in `telemetry_latest_scores`."""
+    rows, tel, work = samples(spark, sf), materialise(telemetry(spark, sf)), orders(spark, sf)
+    given = tel.withColumn("telemetry_anomaly_score", F.when(F.col("odometer") % 3 > 0, F.col("odometer") / 100))
+    made = cases.action_cards(alerts(spark, sf), pit.availability(rows, tel, work), anomaly_scores=tele.latest_anomaly_scores(given))
+    return made.select("source_row", "asset_id", "telemetry_anomaly_score")
+
+
 @entry("case_findings", "findings", """
 SELECT asset_id, component, source_row, priority_tier, sample_date, failure_probability_pct FROM findings""")
 def _(spark, sf):

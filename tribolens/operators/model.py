@@ -37,6 +37,8 @@ class TrainedModel:
     calibrator: LogisticRegressionModel
     features: list[str]
     metrics: dict[str, Any] = field(default_factory=dict)
+    # Written tables and candidates of the fit; not saved.
+    trace: dict[str, Any] = field(default_factory=dict, repr=False)
 
     def predict(self, frame: DataFrame) -> DataFrame:
         """Calibrated probability per row, keyed by `source_row`."""
@@ -54,6 +56,14 @@ class TrainedModel:
             f"{path}/metrics")
 
 
+def load_model(spark: SparkSession, path: str) -> TrainedModel:
+    """A model as `TrainedModel.save` wrote it."""
+    row = spark.read.json(f"{path}/metrics").first().asDict()
+    name, features = row.pop("name"), row.pop("features")
+    return TrainedModel(name, PipelineModel.load(f"{path}/pipeline"), LogisticRegressionModel.load(f"{path}/calibrator"),
+                        list(features), row)
+
+
 def _quoted(name: str) -> str:
     return f"`{name}`"
 
@@ -170,7 +180,7 @@ def train_failure_model(training: DataFrame) -> tuple[TrainedModel, DataFrame]:
     features = [n for n in ev.candidate_features(rows) if n in features]
     if not features:
         raise NotTrainable("no predictor varies")
-    ready = weighted(train)
+    ready = materialise(weighted(train))
     total_weight = ready.agg(F.sum("weight")).first()[0]
     steps = Pipeline(stages=preprocessing(train, features)).fit(ready)
     prepared = materialise(steps.transform(ready).select("features", fv.TARGET, "weight"))
@@ -186,8 +196,10 @@ def train_failure_model(training: DataFrame) -> tuple[TrainedModel, DataFrame]:
     leaderboard = rows.sparkSession.createDataFrame(board).orderBy(F.col("average_precision").desc(), "brier_score")
     winner = min(board, key=lambda r: (-r["average_precision"], r["brier_score"]))
     name = winner["model"]
-    calibrator = fit_sigmoid(scored(fitted[name], name, calibration))
-    model = TrainedModel(name, fitted[name], calibrator, features)
+    to_calibrate = materialise(scored(fitted[name], name, calibration).select("score", fv.TARGET))
+    calibrator = fit_sigmoid(to_calibrate)
+    model = TrainedModel(name, fitted[name], calibrator, features, trace={
+        "weighted": ready, "prepared": prepared, "candidates": fitted, "total_weight": total_weight, "calibration": to_calibrate})
     validation = materialise(as_scored(calibrated(model, calibration, [fv.TARGET]), "probability"))
     threshold = float(ev.choose_threshold(validation).first()["threshold"])
     held_out = materialise(as_scored(calibrated(model, test, [fv.TARGET]), "probability"))
