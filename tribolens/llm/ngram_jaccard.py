@@ -15,7 +15,8 @@ Sets are compared by their 64-bit n-gram hashes. Every filter below is exact: it
   Links inside a component cannot change the result and are not tested.
 
 Defined results: null or empty text, or text without words, is an empty set, linked with nothing. A text of fewer than k words is
-one n-gram. A null id gets a null component. Rows with one id are judged row by row. Other columns are ignored.
+one n-gram. A null id gets a null component. Rows that share an id share what
+any of their texts is linked to. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def prefix_of(grams: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: set size, key of the set, possibly shared prefix n-grams with places, slice counts, text if any is shared."""
+    """Per row: set size, key of the set, possibly shared prefix n-grams with places, slice counts if any is shared."""
     context = docs.sparkSession.sparkContext
 
     def grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -75,23 +76,21 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
         ranks, bits = np.frombuffer(order.value, np.uint16), np.frombuffer(twice.value, np.uint8)
         for batch in batches:
             for part in chunks(batch):
-                rows, texts = [], part.column("text").to_pylist()
-                for row, found in enumerate(shingles(part.column("text"), k)):
+                rows = []
+                for found in shingles(part.column("text"), k):
                     prefix = prefix_of(found, ranks, percent)
                     place = np.flatnonzero(sketch.seen_twice(bits, prefix, width, SHARED_DEPTH))
                     cells = np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=CELLS)
                     rows.append((len(found), int(mix(found).sum().astype(np.int64)),
                                  int(mix(found ^ sketch.SALT).sum().astype(np.int64)), prefix[place].view(np.int64),
-                                 place.astype(np.int32), cells.astype(np.int32) if len(place) else None,
-                                 texts[row] if len(place) else None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()),
-                         pa.list_(pa.int32()), pa.string()]
+                                 place.astype(np.int32), cells.astype(np.int32) if len(place) else None))
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *(pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds))],
-                    names=["doc_id", "n", "key_a", "key_b", "grams", "places", "cells", "text"])
+                    names=["doc_id", "n", "key_a", "key_b", "grams", "places", "cells"])
 
     return docs.mapInArrow(sign, "doc_id long, n long, key_a long, key_b long, grams array<long>, places array<int>, "
-                                 "cells array<int>, text string")
+                                 "cells array<int>")
 
 
 def may_reach(overlap: Column, n: Column, m: Column, percent: int) -> Column:
@@ -111,13 +110,13 @@ def both_sides(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFra
     return left.join(right, ["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) that pass length and suffix filter and reach the threshold on their texts."""
     common = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     kept = materialise(both_sides(pairs, sets, ["n", "cells"]).filter(
         similar_length(F.col("n_a"), F.col("n_b"), percent) & may_reach(common, F.col("n_a"), F.col("n_b"), percent))
         .select("a", "b"))
-    both = both_sides(kept, sets, ["text"])
+    both = both_sides(kept, texts, ["text"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +163,8 @@ def crossing_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFr
 
 def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id, the least id reachable by links, of every document."""
-    signed = materialise(signatures(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), k, percent))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    signed = materialise(signatures(texts, k, percent))
     key = ["key_a", "key_b", "n"]
     known = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     classes = signed.filter(known).groupBy(*key).agg(F.min("doc_id").alias("first"))
@@ -177,12 +177,12 @@ def similar_groups(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> D
         F.col("x.grams").alias("gram"), "doc_id", "n", F.col("x.places").alias("place"))
     common = rows.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = materialise(rows.join(common.filter("low < high").select("gram"), "gram"))
-    sets = signed.filter("text is not null").select("doc_id", "n", "cells", "text")
+    sets = signed.filter("cells is not null").select("doc_id", "n", "cells")
 
-    links = materialise(verified(materialise(leader_pairs(shared)), sets, k, percent))
+    links = materialise(verified(materialise(leader_pairs(shared)), sets, texts, k, percent))
     labels = components(links)
     others = materialise(crossing_pairs(shared, labels, percent))
-    links = links.unionByName(verified(others, sets, k, percent))
+    links = links.unionByName(verified(others, sets, texts, k, percent))
     labels = components(links)
     return member.join(labels, member["first"] == labels["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id"))
