@@ -192,6 +192,41 @@ def test_packing_searches_all_terms_of_the_seed():
     assert sorted(item.doc_id for item, _, _ in first) == list(range(9))
 
 
+def closed(doc_id, ids):
+    return packing.Item(doc_id, np.append(ids, packing.END).astype(np.uint32))
+
+
+def test_packing_of_closed_items_without_related_ones():
+    """The end id makes no item a neighbour: unrelated items follow longest first; items of the end id alone are packed too."""
+    seed = closed(0, np.arange(10_000, 10_500))
+    others = [closed(i, np.arange(100 * i, 100 * i + n)) for i, n in zip(range(1, 60), [5, 9, 40, 7, 30] * 12)]
+    bare = [closed(900 + i, np.empty(0, np.uint32)) for i in range(3)]
+    first = packing.pack([*bare, *others, seed], 700)[0][0]
+    sizes = [n for _, _, n in first[1:-1]]
+    assert first[0][0] is seed and sizes == sorted(sizes, reverse=True) and sizes[0] == 41
+    sequences, rest = packing.pack([closed(i, np.empty(0, np.uint32)) for i in range(10)], 4)
+    assert [sum(n for _, _, n in pieces) for pieces in sequences] == [4, 4] and sum(map(len, rest)) == 2
+
+
+def test_packing_order_is_that_of_plain_bm25():
+    rng = np.random.default_rng(4)
+    bodies = [rng.integers(2, 90, rng.integers(3, 60)) for _ in range(80)]
+    items, n = [closed(i, ids) for i, ids in enumerate(bodies)], len(bodies)
+    index, mean = packing.Index(items), sum(map(len, bodies)) / n
+    for seed in range(0, n, 7):
+        scores = np.zeros(n)
+        for term in set(bodies[seed].tolist()):
+            holders = [i for i in range(n) if term in bodies[i]]
+            for i in holders:
+                times = int((bodies[i] == term).sum())
+                norm = packing.K1 * (1 - packing.B + packing.B * len(bodies[i]) / mean)
+                scores[i] += np.log(1 + (n - len(holders) + 0.5) / (len(holders) + 0.5)) * times * (packing.K1 + 1) / (times + norm)
+        unused = np.arange(n) != seed
+        found = index.neighbours(seed, unused)
+        assert sorted(found) == sorted(np.flatnonzero(scores * unused))
+        assert np.all(np.diff(scores[found]) <= 1e-9)
+
+
 def test_cross_entropy_difference(spark, docs, rows):
     """Against counts in dictionaries over the same token numbers."""
     import pyarrow as pa

@@ -4,7 +4,7 @@ Documents are tokenized once into a written table, then dealt out by ranges of (
 neighbouring ids, puts copies and near copies side by side, and the id splits any number of equal keys. Within a partition,
 consecutive documents form shards of bounded size, each with a BM25 inverted index of its documents. Whole windows of a
 long document are sequences of their own; what remains of it is an item. The longest unused item of the shard is the seed:
-it is searched in the index by all its terms, and unused items fill its window from the best match down, however many it takes; the
+it is searched in the index by all its terms but the end id, and unused items fill its window from the best match down, however many it takes; the
 last is cut where the window ends, and its rest stays in the index. Items without a common term follow, longest first. What a shard cannot fill goes on into the next; the end of a partition is cut into
 sequences whose lengths are powers of two, which need no padding. So nothing is padded, whatever the input.
 
@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tribolens.llm.token_store import tokenised, unpacked
+from tribolens.llm.tokens import END
 
 WINDOW = 2048
 SHARD_DOCS, SHARD_TOKENS = 2000, 2_000_000
@@ -40,6 +41,11 @@ class Item:
     def __len__(self) -> int:
         return len(self.ids) - self.start
 
+    def terms(self) -> np.ndarray:
+        """What is left without the end id, which every document has and which says nothing about it."""
+        left = self.ids[self.start :]
+        return left[:-1] if len(left) and left[-1] == END else left
+
     def take(self, n: int) -> tuple[Item, int, int]:
         piece = (self, self.start, n)
         self.start += n
@@ -51,15 +57,16 @@ class Index:
 
     def __init__(self, items: list[Item]):
         self.n = self.held = len(items)
-        size = np.array([len(x) for x in items])
+        bodies = [x.terms() for x in items]
+        size = np.array([len(x) for x in bodies])
         owner = np.repeat(np.arange(self.n), size)
-        terms = np.concatenate([x.ids[x.start:] for x in items]).astype(np.int64)
+        terms = np.concatenate(bodies).astype(np.int64)
         pair, times = np.unique(terms * self.n + owner, return_counts=True)
         term, self.item = pair // self.n, pair % self.n
         self.head = np.r_[np.flatnonzero(np.r_[True, term[1:] != term[:-1]]), len(pair)]
         df = np.diff(self.head)
         idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * size / size.mean())
+        norm = K1 * (1 - B + B * size / max(size.mean(), 1.0))
         self.weight = np.repeat(idf, df) * times * (K1 + 1) / (times + norm[self.item])
         order = np.argsort(self.item, kind="stable")
         number = np.repeat(np.arange(len(df)), df)[order]
@@ -73,6 +80,8 @@ class Index:
             self.head = np.r_[0, np.cumsum(keep)][self.head]
             self.item, self.weight = self.item[keep], self.weight[keep]
         own = self.of_item[seed]
+        if not len(own):
+            return np.empty(0, np.int64)
         parts = [slice(a, b) for a, b in zip(self.head[own].tolist(), self.head[own + 1].tolist())]
         score = np.bincount(np.concatenate([self.item[x] for x in parts]), np.concatenate([self.weight[x] for x in parts]),
                             self.n) * unused
