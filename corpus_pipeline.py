@@ -6,13 +6,17 @@ benchmark   documents that hold a benchmark passage go (operator 8)
 secrets     credentials, linked parts included, are replaced by a mark; no document goes (operator 5)
 packing     what is left is tokenized and packed into sequences of 2048 ids (operator 10)
 
-All stages but the last return the columns of their input, whatever their names. Where an id is null or repeated, the duplicates
+The stages read their input in small Arrow batches (SMALL_BATCHES, set on the session), which bounds what an executor holds beside its
+heap. All stages but the last return the columns of their input, whatever their names. Where an id is null or repeated, the duplicates
 stage groups rows instead of ids: of each group one row stays, a null id only if the group has no other.
 SQL cannot express the fitted classifier, so there is no reference SQL; the tests compare with plain Python.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,19 @@ from tribolens.llm.columns import join_rows, small_side
 from tribolens.plans.storage import materialise
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def small_batches(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key, value in SMALL_BATCHES.items():
+            spark.conf.set(key, value)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def shielded(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -35,11 +52,13 @@ def restored(result: DataFrame, names: dict[str, str], docs: DataFrame) -> DataF
     return result.select(*kept).withColumnsRenamed(names)
 
 
+@small_batches
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, names = shielded(docs)
     return restored(quality.grade(plain, registry.table(spark, sf_dir, "labels")).filter("keep"), names, docs)
 
 
+@small_batches
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1")
     if not ids.isEmpty():
@@ -60,6 +79,7 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
     return restored(plain.join(kept, "row", "left_semi").drop("row"), names, docs)
 
 
+@small_batches
 def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, names = shielded(docs)
     found = winnowing.contamination(docs.select("doc_id", "text"), registry.table(spark, sf_dir, "benchmark"))
@@ -67,6 +87,7 @@ def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return restored(join_rows(plain.withColumn("tag", F.hash("text")), hit, "left_anti"), names, docs)
 
 
+@small_batches
 def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, names = shielded(docs)
     found = secrets.scan(docs.select("doc_id", "text")).filter(F.size("spans") > 0).distinct()
@@ -79,6 +100,7 @@ def redacted_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return restored(result, names, docs)
 
 
+@small_batches
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(docs.select("doc_id", "text"), registry.tokenizer())
 
