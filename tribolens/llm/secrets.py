@@ -9,7 +9,8 @@ full of parts costs in proportion to its length, and no cell holds more parts th
 
 Spans are found with a pattern that takes the gap before each match along: match places are running sums of gap and match
 lengths, and the search continues behind each match, failing ones included. Each search is tied to the end of the last match
-(\\G); otherwise the text behind the last match would be searched again from each of its characters.
+(\\G); otherwise the text behind the last match would be searched again from each of its characters. Places are summed up
+in chunks of CHUNK matches, so a text with many of them costs little more than in proportion.
 
 Defined results: null or empty text has no spans. Rows with one id and different texts are judged each by itself; repeated rows
 give repeated results. A null id is an id like any other. An empty table gives an empty result. Other columns are ignored.
@@ -17,6 +18,8 @@ give repeated results. A null id is an id like any other. An empty table gives a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ from tribolens.llm.columns import join_rows, let
 from tribolens.plans.storage import materialise
 
 SCOPE = 200
+CHUNK = 128
 # Kinds in the order in which they are listed, with pattern, group measured, least length and role.
 ASSIGN = (r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]+")
 BASE = {
@@ -37,31 +41,59 @@ WEAK = {
     "user": ((r"""(?:(?i:user(?:name)?|login|account|client_?id))["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.@-]+"), 3,
              "identifier", r"(?i)user|login|account|client_?id"),
     "endpoint": (("", r"(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]+"), 10, "endpoint", r"://"),
-    "bare": (("", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,39}[0-9])(?=[^a-z\s]{0,39}[a-z])(?=[^A-Z\s]{0,39}[A-Z])"
-                  r"[A-Za-z0-9+/_=-]{20,}"), 20, "secret", r"[A-Za-z0-9+/_=-]{20}"),
+    # What follows the pattern that a text must hold: patterns that the span itself must hold.
+    "bare": (("", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"), 20, "secret", r"[A-Za-z0-9+/_=-]{20}",
+             r"[0-9]", r"[a-z]", r"[A-Z]"),
 }
 KINDS = [*BASE, *WEAK]
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 def spans_of(text: Column, kind: str, rule: tuple) -> Column:
-    """Spans (start, rank, end, kind) of one kind in a text; matches whose measured part is too short are dropped."""
-    (head, value), least, _, hint = rule
+    """Spans (start, rank, end, kind) of one kind in a text; matches whose measured part fails are dropped."""
+    (head, value), least, _, hint, *holds = rule
     pattern = F.lit(rf"(?s)\G(.*?)({head})({value})")
     gap, lead, body = (F.regexp_extract_all(text, pattern, F.lit(group)) for group in (1, 2, 3))
 
-    def place(parts: Column) -> Column:
+    def sized(part: Column) -> Column:
+        fits = F.length(part["2"]) >= least
+        for inner in holds:
+            fits = fits & part["2"].rlike(inner)
+        return F.struct(F.length(part["0"]).alias("gap"), (F.length(part["1"]) + F.length(part["2"])).alias("size"),
+                        fits.alias("fits"))
+
+    def place(chunk: Column, begin: Column) -> Column:
         def step(state: Column, part: Column) -> Column:
-            start = state["at"] + F.length(part["0"])
-            end = start + F.length(part["1"]) + F.length(part["2"])
-            span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"),
-                            F.lit(kind).alias("kind"))
-            found = F.when(F.length(part["2"]) >= least, F.concat(state["found"], F.array(span).cast(SPAN)))
-            return F.struct(end.alias("at"), found.otherwise(state["found"]).alias("found"))
+            start = state["at"] + part["gap"]
+            span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"),
+                            (start + part["size"]).alias("end"), F.lit(kind).alias("kind"))
+            found = F.when(part["fits"], F.concat(state["found"], F.array(span).cast(SPAN)))
+            return F.struct((start + part["size"]).alias("at"), found.otherwise(state["found"]).alias("found"))
+
+        return F.aggregate(chunk, F.struct(begin.alias("at"), F.array().cast(SPAN).alias("found")), step)["found"]
+
+    def place_all(parts: Column) -> Column:
+        def with_begins(chunks: Column) -> Column:
+            lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, p: n + p["gap"] + p["size"]))
+            return let(running(lengths, lambda x, y: x + y), lambda begins: F.flatten(
+                F.transform(chunks, lambda c, i: place(c, F.get(begins, i)))))
+
+        return let(in_chunks(parts), with_begins)
+
+    return F.when(text.rlike(hint), let(F.transform(F.arrays_zip(gap, lead, body), sized), place_all)).otherwise(
+        F.array().cast(SPAN))
 
-        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found")), step)["found"]
 
-    return F.when(text.rlike(hint), let(F.arrays_zip(gap, lead, body), place)).otherwise(F.array().cast(SPAN))
+def in_chunks(items: Column) -> Column:
+    """An array as an array of arrays of CHUNK items: an array grown item by item is copied at each step, so long ones are
+    grown in chunks."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i, CHUNK))
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """What `merge` makes of all values before each place, from 0; one entry more than there are values."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda done, v: F.concat(done, F.array(merge(F.element_at(done, -1), v))))
 
 
 def with_cells(parts: DataFrame, reach: int) -> DataFrame:
@@ -109,13 +141,28 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
-    """Text with its spans, overlapping ones merged, replaced by a mark."""
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        out = F.when(span["start"] >= state["at"], F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
+    """Text with its spans, in order of their starts and overlapping ones merged, replaced by a mark.
+
+    A chunk of spans rewrites its own stretch of the text, from the furthest end before it to the furthest end in it, so neither the
+    text nor the result is walked once per span.
+    """
+    def rewritten(chunk: Column, piece: Column, begin: Column) -> Column:
+        def step(state: Column, span: Column) -> Column:
+            gap = F.substring(piece, state["at"] - begin + 1, span["start"] - state["at"])
+            out = F.when(span["start"] >= state["at"], F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
+            return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(chunk, F.struct(begin.alias("at"), F.lit("").alias("out")), step)["out"]
+
+    def rewritten_all(chunks: Column) -> Column:
+        ends = running(F.transform(chunks, lambda c: F.array_max(c["end"])), F.greatest)
+
+        def joined(begins: Column) -> Column:
+            parts = F.transform(chunks, lambda c, i: let(
+                F.substring(text, F.get(begins, i) + 1, F.get(begins, i + 1) - F.get(begins, i)),
+                lambda piece: rewritten(c, piece, F.get(begins, i))))
+            return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(begins, -1) + 1, F.length(text)))
 
-    def finish(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
+        return let(ends, joined)
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, finish)
+    return let(in_chunks(spans), rewritten_all)
