@@ -2,6 +2,9 @@
 
 import hashlib
 import re
+from collections import Counter
+
+import xxhash
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -80,6 +83,69 @@ def base_spans(text):
     return sorted(spans)
 
 
+def chained(values, seed=42):
+    """Hash of strings or longs, each seeded with the one before, as a signed 64-bit number."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little")
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def syncmers(units, k, s, level):
+    """(place, anchor) of the K-mers whose least inner hash stands at an edge."""
+    found = []
+    hashes = [chained([u]) for u in units]
+    for p in range(len(units) - k + 1):
+        inner = [chained(hashes[p + j : p + j + s]) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            cover = sorted({*range(0, k - s + 1, s), k - s})
+            found.append((p, (chained([inner[j] for j in cover]) % 2**64 >> 33) * 2 + level))
+    return found
+
+
+def fingerprint(text):
+    spaceless = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+                 (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+    units, run = [], ""
+    for c in text.lower():
+        single = any(a <= ord(c) <= b for a, b in spaceless)
+        if run and (single or c in " \t\n\v\f\r" or len(run) == 16):
+            units.append(run)
+            run = ""
+        if single:
+            units.append(c)
+        elif c not in " \t\n\v\f\r":
+            run += c
+    units += [run] if run else []
+    found = syncmers(units, 8, 2, 0)
+    if len(units) < 48:
+        whole = " ".join(units)
+        if len(whole) >= 6:
+            found += syncmers(list(whole), 6, 3, 1)
+        elif whole:
+            found.append((0, (chained([whole]) % 2**64 >> 33) * 2 + 1))
+    return found
+
+
+def likeness(a, b):
+    if not a and not b:
+        return 1.0
+    level = int(all(any(h & 1 for _, h in x) for x in (a, b)))
+    first = []
+    for x in (a, b):
+        own = {}
+        for p, h in x:
+            if h & 1 == level:
+                own.setdefault(h, p)
+        first.append(own)
+    x, y = first
+    if not x and not y:
+        return 0.0
+    band = max(4, max([*x.values(), *y.values()]) // 16)
+    bands = Counter((y[h] - x[h]) // band for h in x.keys() & y.keys())
+    return max((n + bands[g - 1] for g, n in bands.items()), default=0) / len(x.keys() | y.keys())
+
+
 def byte_letters():
     """Byte of each character that stands for one in a byte-level vocabulary."""
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
