@@ -111,8 +111,9 @@ def likeness(a: Column, b: Column) -> Column:
             same(x, F.get(items, i - 1), PLACE_BITS + 1), place(x) - place(F.get(items, i - 1)))), lambda d: d.isNotNull())
         last = F.array_max(F.transform(items, place))
         band = F.greatest(F.lit(4), F.floor(last / BAND))
-        return let(met, lambda d: F.try_divide(
-            commonest(F.sort_array(F.transform(d, lambda x: F.floor(x / band)))).cast("double"), F.size(items) - F.size(d)))
+        # The band is computed once: inside the lambda it would be computed for each distance.
+        banded = let(band, lambda width: F.transform(met, lambda x: F.floor(x / width)))
+        return let(banded, lambda d: F.try_divide(commonest(F.sort_array(d)).cast("double"), F.size(items) - F.size(d)))
 
     def of_level(level: Column) -> Column:
         return let(F.sort_array(F.concat(keyed(a, 0, level), keyed(b, 1, level))), lambda items: let(firsts(items), compared))
