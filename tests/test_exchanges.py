@@ -1,6 +1,12 @@
 """What the queries exchange, write and repeat: forms that keep the traffic in proportion to the rows."""
 
-from tribolens.operators import enrich
+import re
+
+from pyspark.sql import functions as F
+
+from tribolens.functions import fixed_values as fv
+from tribolens.operators import enrich, triage
+from tribolens.sources.tables import load_table, write_table
 
 
 def test_long_results_are_exchanged_once(spark):
@@ -17,3 +23,31 @@ def test_long_results_are_exchanged_once(spark):
         assert plan.count("Exchange hashpartitioning") == 1, plan
     assert {r.sample_key: (r.Fe, r.WaterPct, r.Viscosity) for r in wide.collect()} == {"S1": (2.0, 3.0, None), "S2": (None, None, 4.0)}
     assert sorted(r.row_key.id for r in latest.collect()) == [1, 2, 3, 5, 6]
+
+
+def test_category_patterns_run_once_and_lose_nothing(spark):
+    """Each pattern stands once in the plan, and the cheap test ahead of it lets every match through, whatever its case."""
+    texts = ["IRON high.  fE seen", "bronze", "Aluminum and ALUMINIUM", "Pb. Babbitt", "SI; contaminated", "glyco! antifreeze",
+             "dilution", "nigrosine, tBn", "RESAMPLE. sample IN. more of the History", "No action", "Fer silver alert", "", None]
+    alerts = spark.createDataFrame([(str(i), "A", "ENG", t) for i, t in enumerate(texts)],
+                                   "sample_number string, asset_id string, component string, original_interpretation string")
+    found = triage.interpretation_categories(alerts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(") == len(fv.CATEGORIES)
+    sentences = [[s.strip() for s in re.split(r"(?<=[.!?])\s+", t or "") if s.strip()] for t in texts]
+    want = set()
+    for i, parts in enumerate(sentences):
+        for name, pattern in fv.CATEGORIES:
+            shown = next((s for s in parts if re.search(pattern, s, re.I | re.A)), None)
+            want |= {(str(i), name, shown)} if shown else set()
+    got = {(r.sample_number, r.problem_category, r.category_evidence) for r in found.collect()}
+    assert {g for g in got if g[1] != fv.CATEGORY_OTHER} == want and {w[1] for w in want} == {name for name, _ in fv.CATEGORIES}
+
+
+def test_text_sink_is_packed_and_read_back(spark, tmp_path):
+    """A CSV sink repeats long texts in full, so its files are compressed; a scan gives the same cells."""
+    rows = spark.range(5000).select("id", F.lit('a long text, "quoted", ' * 20).alias("text")).coalesce(2)
+    write_table(rows, f"{tmp_path}/out.csv", "csv")
+    assert sum(p.stat().st_size for p in (tmp_path / "out.csv").glob("part-*")) < 500_000
+    back = load_table(spark, f"{tmp_path}/out.csv")
+    assert back.columns == ["id", "text"] and back.distinct().count() == 5000 and back.select("text").distinct().count() == 1
