@@ -81,7 +81,7 @@ def analyze(
         if issue is None:
             telemetry = materialise(tele.prepare_telemetry(telemetry_raw, telemetry_key))
     work_orders = None if work_orders_raw is None else materialise(prepare_work_orders(work_orders_raw))
-    alerts = materialise(triage.triage(samples, rules))
+    alerts = materialise(triage.triage(samples, rules, written=True))
     matched = None if telemetry is None else point_in_time.matched_assets(samples, telemetry)
     scoring = materialise(point_in_time.build_scoring(samples, telemetry, work_orders))
     training = point_in_time.build_training(samples, telemetry, work_orders, horizon_days)
