@@ -96,3 +96,14 @@ def test_a_forest_keeps_the_node_of_each_row(spark):
     assert forest.getCacheNodeIds()
     kept, walked = (forest.copy().setCacheNodeIds(keep).fit(rows).toDebugString.split("\n", 1)[1] for keep in (True, False))
     assert kept == walked
+
+
+def test_fit_and_scoring_share_written_features(spark):
+    from tribolens.catalog import entries
+
+    sf = "/root/testdata/sf0.001"
+    rows, tel, work, features = entries._written(spark, sf)
+    assert entries._written(spark, sf)[3] is features
+    shared, own = (entries.pit.build_scoring(rows, tel, work, f) for f in (features, None))
+    assert shared.columns == own.columns
+    assert sorted(map(str, shared.collect())) == sorted(map(str, own.collect()))
