@@ -107,3 +107,15 @@ def test_fit_and_scoring_share_written_features(spark):
     shared, own = (entries.pit.build_scoring(rows, tel, work, f) for f in (features, None))
     assert shared.columns == own.columns
     assert sorted(map(str, shared.collect())) == sorted(map(str, own.collect()))
+
+
+def test_a_summary_makes_no_card(spark):
+    """Scoring rows and cards are written when asked for; a summary without a model needs neither."""
+    from tribolens.catalog import views
+    from tribolens.plans import analysis
+
+    result = analysis.analyze(views.raw_samples(spark, SMALL), None, None, 3, sample_key="SampleNum")
+    row = analysis.run_summary(result).first()
+    assert row["prediction_rows"] == 0 and row["sample_rows"] == result.alerts.count()
+    assert not {"cards", "scoring"} & set(vars(result))
+    assert result.cards.count() == row["sample_rows"]

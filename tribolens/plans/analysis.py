@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,10 @@ log = logging.getLogger(__name__)
 
 @dataclass
 class Analysis:
-    """Lazy result tables and the few decisions taken while building them."""
+    """Lazy result tables and the few decisions taken while building them.
+
+    The two widest tables, scoring rows and cards, are written when they are first asked for.
+    """
 
     mode: str
     predictive: bool
@@ -33,15 +38,23 @@ class Analysis:
     telemetry_quality: DataFrame | None
     work_orders: DataFrame | None
     matched_assets: DataFrame | None
-    scoring: DataFrame
     training: DataFrame | None
     readiness: DataFrame
-    cards: DataFrame
+    write_scoring: Callable[[], DataFrame]
+    make_cards: Callable[[DataFrame], DataFrame]
     model: model.TrainedModel | None = None
     leaderboard: DataFrame | None = None
     model_error: str | None = None
     horizon_days: int = 30
 
+    @cached_property
+    def scoring(self) -> DataFrame:
+        return self.write_scoring()
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        return materialise(self.make_cards(self.scoring))
+
     def case_table(self) -> DataFrame:
         return cases.case_table(self.cards, self.alerts, self.samples, self.telemetry, self.work_orders,
                                 self.horizon_days)
@@ -83,7 +96,11 @@ def analyze(
     work_orders = None if work_orders_raw is None else materialise(prepare_work_orders(work_orders_raw))
     alerts = materialise(triage.triage(samples, rules, written=True))
     matched = None if telemetry is None else point_in_time.matched_assets(samples, telemetry)
-    scoring = materialise(point_in_time.build_scoring(samples, telemetry, work_orders))
+
+    @cache
+    def write_scoring() -> DataFrame:
+        return materialise(point_in_time.build_scoring(samples, telemetry, work_orders))
+
     training = point_in_time.build_training(samples, telemetry, work_orders, horizon_days)
     if training is not None:
         training = materialise(training)
@@ -107,7 +124,7 @@ def analyze(
                 f"Average-precision lift {trained.metrics['average_precision_lift']:.3f}; "
                 f"Brier skill {trained.metrics['brier_skill_score']:.3f}")
             if passed:
-                probabilities = trained.predict(scoring)
+                probabilities = trained.predict(write_scoring())
                 top = list(trained.importances())[:3]
                 if telemetry is not None:
                     telemetry = anomaly.score_telemetry(telemetry)
@@ -118,12 +135,12 @@ def analyze(
         if error:
             log.warning("prediction is off: %s", error)
             predictive, mode = False, gates.fallback_mode(ready.collect())
-    cards = materialise(cases.action_cards(alerts, scoring, probabilities, scores, top))
     return Analysis(
         mode=mode, predictive=predictive, samples=samples, alerts=alerts,
         categories=triage.interpretation_categories(alerts), counters=gates.dataset_counters(alerts),
         telemetry=telemetry, telemetry_quality=quality, work_orders=work_orders, matched_assets=matched,
-        scoring=scoring, training=training, readiness=ready, cards=cards, model=trained, leaderboard=board,
+        training=training, readiness=ready, write_scoring=write_scoring,
+        make_cards=lambda scoring: cases.action_cards(alerts, scoring, probabilities, scores, top), model=trained, leaderboard=board,
         model_error=error, horizon_days=horizon_days)
 
 
@@ -141,7 +158,8 @@ def run_summary(result: Analysis) -> DataFrame:
     """One row for the JSON summary sink."""
     samples = result.samples.agg(F.count("*").alias("sample_rows"), F.count_distinct("asset_id").alias("sample_assets"))
     matched = F.lit(0).cast("long") if result.matched_assets is None else result.matched_assets.agg(F.count("*")).scalar()
-    predicted = result.cards.agg(F.count("failure_probability_pct")).scalar()
+    # Without a model no card has a probability, so none is made for the count.
+    predicted = F.lit(0).cast("long") if result.model is None else result.cards.agg(F.count("failure_probability_pct")).scalar()
     quality = result.telemetry_quality.select(F.struct("*")).scalar()
     counters = result.counters.select(F.struct("*")).scalar()
     return samples.select(
